@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, count_chars, space_words
 
 SYMBOLS = "#*$%&|<>"
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_distinct")
 #: Window positions are packed beside 44 bits of their hash, so 20 bits; longer texts take the wider form.
 POSITION_BITS = 20
 
@@ -72,22 +73,25 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' columns with one struct column ``stats`` after them: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words (the contract's) and n_upper, n_marks, n_distinct for the learned list."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def statistics(text: Column) -> Column:
+    """A struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (the contract's) and n_upper, n_marks,
+    n_distinct for the learned list. One self-contained expression: a filter on it can be pushed below a projection
+    without the words being split again and again."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    per_text = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.aggregate(F.col("_words"), F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
-        count_chars(body, SYMBOLS).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-        count_chars(body, UPPER).alias("n_upper"),
-        count_chars(body, "!?").alias("n_marks"),
-        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
+    return _let(
+        F.struct(space_words(text).alias("w"), lines.alias("l")),
+        lambda v: F.struct(
+            F.size(v["w"]).cast("long").alias("n_words"),
+            F.aggregate(v["w"], F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+            count_chars(body, SYMBOLS).alias("n_symbols"),
+            (F.size(v["l"]) - F.size(F.array_distinct(v["l"]))).cast("long").alias("n_dup_lines"),
+            repeated_words(v["w"]).alias("n_repeat_words"),
+            count_chars(body, UPPER).alias("n_upper"),
+            count_chars(body, "!?").alias("n_marks"),
+            F.size(F.array_distinct(v["w"])).cast("long").alias("n_distinct"),
+        ),
     )
-    return docs.withColumns({"_words": space_words(F.col(text)), "_lines": lines}).withColumn("stats", per_text).drop("_words", "_lines")
 
 
 #: Features of the learned list, by name; of the struct of statistics().
@@ -194,14 +198,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, seed: in
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
         .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_labelled).groupBy("_id").agg(F.min("_quality").alias("_quality"))
     )
-    known = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))).where(~base_failed(F.col("stats")))
-    rows = known.select("doc_id", (F.col("_quality") == 0).alias("bad"), *[f(F.col("stats")).alias(n) for n, f in FEATURES.items()]).orderBy("doc_id", *FEATURES).limit(2 * max_labelled).collect()
-    x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return cover(x, np.array([r[1] for r in rows], bool), list(FEATURES), seed)
+    known = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    rows = known.select("doc_id", (F.col("_quality") == 0).alias("bad"), _let(statistics(F.col("text")), lambda s: F.struct(base_failed(s).alias("failed"), F.array(*[f(s) for f in FEATURES.values()]).alias("x"))).alias("s"))
+    rows = sorted((i, tuple(s["x"]), bad) for i, bad, s in rows.collect() if not s["failed"])  # bounded by max_labelled doc_ids
+    x = np.array([r[1] for r in rows], float).reshape(len(rows), len(FEATURES))
+    return cover(x, np.array([r[2] for r in rows], bool), list(FEATURES), seed)
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> DataFrame:
-    """docs' columns with stats, base_failed and kept (false if base_failed, else the learned list's verdict)."""
+def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, name: str = "judged") -> DataFrame:
+    """docs' columns and a struct (under ``name``) of the statistics, base_failed and kept (false if base_failed, else
+    the learned list's verdict)."""
     rules = learn(docs, labels, max_labelled)
-    s = F.col("stats")
-    return statistics(docs).withColumn("base_failed", base_failed(s)).withColumn("kept", ~F.col("base_failed") & rules.keep(s))
+
+    def verdict(s: Column) -> Column:
+        return F.struct(*[s[n].alias(n) for n in STATISTICS], base_failed(s).alias("base_failed"), (~base_failed(s) & rules.keep(s)).alias("kept"))
+
+    return docs.withColumn(name, _let(statistics(F.col("text")), verdict))
