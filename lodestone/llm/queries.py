@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, urls
+from . import licenses, rules, urls
 from .common import table
 
 URL_RULES = [
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"judged.{n}" for n in names])
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, URL_RULES, BLOCKED_DOMAINS).select("page_id", "host", "path", "rule", "verdict")
@@ -49,11 +53,43 @@ def _url_sql() -> str:
         FROM parts"""
 
 
+def _license_sql(threshold: float = 0.8) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def starts(phrase: str) -> str:
+        parts = phrase.split(" ")
+        same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
+        return f"list_filter(generate_series(1, len(w) - {len(parts) - 1}), lambda i: {same})"
+
+    templates = ", ".join(f"('{label}', {licenses.template_words(text)})" for label, text in licenses.TEMPLATES.items())
+    each = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(licenses.PHRASES.values()))
+    every = " || ".join(f"p{k}" for k in range(len(licenses.PHRASES)))
+    return f"""
+        WITH templates(label, t) AS (VALUES {templates}),
+        low AS (SELECT doc_id, {lower} AS s FROM documents),
+        d AS (SELECT doc_id, regexp_extract_all(s, '{pattern}') AS w FROM low),
+        base AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{starts(p)} AS p{k}" for k, p in enumerate(licenses.PHRASES))} FROM d),
+        lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(s, chr(10))), '{pattern}')) AS b FROM low),
+        hits AS (
+            SELECT doc_id, label, len(list_intersect(b, t)) * 1.0 / len(t) AS score FROM lines, templates
+            WHERE len(list_intersect(b, t)) >= {threshold} * len(t) - 1e-9
+        ),
+        found AS (SELECT doc_id, list(label) AS labels, max(score) AS score FROM hits GROUP BY doc_id),
+        places AS (SELECT *, {every} AS p, list_filter([{each}], lambda x: x IS NOT NULL) AS b FROM base)
+        SELECT doc_id, n_words::BIGINT AS n_words, len(p)::BIGINT AS n_base, (list_min(p) - 1)::BIGINT AS first_word, (list_max(p) - 1)::BIGINT AS last_word,
+               coalesce(array_to_string(list_sort(list_distinct(b)), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(b || coalesce(labels, []))), ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM places LEFT JOIN found USING (doc_id)"""
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op10_url_filter": op10_url_filter,
 }
 
 SQL = {
+    "op6_license_scan": _license_sql(),
     "op10_url_filter": _url_sql(),
 }
