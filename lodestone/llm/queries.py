@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, rules, urls
-from .common import table
+from . import licenses, rules, sharding, tokenfile, urls
+from .common import scratch_path, table
 
 URL_RULES = [
     urls.Rule("com", "/", "allow"),
@@ -26,10 +26,32 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"judged.{n}" for n in names])
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoder = lambda: tokenfile.ByteLevelEncoder(tokenizer_path("byte_bpe_50k.json"))
+    written = tokenfile.write_tokens(docs, scratch_path(spark, "tokens"), encoder, vocabulary=50_257, end_id=2)
+    return tokenfile.read_tokens(spark, written)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, _ = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=40)
+    text = F.coalesce("text", F.lit(""))
+    return kept.select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, URL_RULES, BLOCKED_DOMAINS).select("page_id", "host", "path", "rule", "verdict")
@@ -85,7 +107,9 @@ def _license_sql(threshold: float = 0.8) -> str:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
+    "op8_shards": op8_shards,
     "op10_url_filter": op10_url_filter,
 }
 
