@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, rules, sharding, tokenfile, urls
+from . import licenses, pieces, rules, sharding, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -20,6 +20,14 @@ BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 BLOCKED_DOMAINS = tuple(f"{name}.example.{end}" for name in BLOCKED_NAMES for end in ("com", "net", "org"))
 
 
+def piece_settings() -> pieces.Settings:
+    return pieces.Settings(tokenizer_path("piece_bpe_32k.model"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), piece_settings())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -34,7 +42,7 @@ def tokenizer_path(name: str) -> str:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoder = lambda: tokenfile.ByteLevelEncoder(tokenizer_path("byte_bpe_50k.json"))
+    encoder = lambda: tokenfile.byte_level_encoder(tokenizer_path("byte_bpe_50k.json"))
     written = tokenfile.write_tokens(docs, scratch_path(spark, "tokens"), encoder, vocabulary=50_257, end_id=2)
     return tokenfile.read_tokens(spark, written)
 
@@ -106,6 +114,7 @@ def _license_sql(threshold: float = 0.8) -> str:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,

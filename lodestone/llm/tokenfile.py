@@ -26,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ class TokenFile:
 
 #: White space as the tokenizer's own splitting knows it in ASCII; texts with any other kind are encoded as a whole.
 CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -​    　]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 
 class ByteLevelEncoder:
@@ -116,7 +117,7 @@ class ByteLevelEncoder:
 
     A byte-level tokenizer splits a text before white space that follows anything else, so a text's ids are those of
     its chunks (white space and what follows it) one after the other. Chunks return; each is encoded once by the
-    library and remembered, at most ``remembered`` of them and none of over 64 characters.
+    library and remembered, about ``remembered`` of them (two generations) and none of over 64 characters.
     """
 
     def __init__(self, path: str, remembered: int = 200_000):
@@ -124,8 +125,8 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.known, self.before = {}, {}  # two generations: what returns often stays
+        self.remembered = remembered // 2
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -138,13 +139,19 @@ class ByteLevelEncoder:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
             pass
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        new = dict(zip(missing, self._direct(missing), strict=True))
-        whole = b"".join([known[c] if c in known else new[c] for c in chunks])
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-        known.update((c, x) for c, x in new.items() if len(c) <= 64)
-        return whole
+        found = {c: known.get(c) or self.before.get(c) for c in chunks}
+        missing = [c for c, x in found.items() if x is None]
+        found.update(zip(missing, self._direct(missing), strict=True))
+        if len(known) > self.remembered:
+            self.before, self.known = known, {}
+        self.known.update((c, x) for c, x in found.items() if len(c) <= 64)
+        return b"".join(map(found.__getitem__, chunks))
+
+
+@lru_cache(maxsize=2)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    """One encoder a worker process, kept from task to task."""
+    return ByteLevelEncoder(path)
 
 
 @dataclass(frozen=True)
