@@ -120,32 +120,51 @@ class ByteLevelEncoder:
     library and remembered, about ``remembered`` of them (two generations) and none of over 64 characters.
     """
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a byte-level token has one character for each byte of text; added tokens stand for themselves
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.width = np.array([added.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(self.tokenizer.get_vocab_size())])
         self.known, self.before = {}, {}  # two generations: what returns often stays
         self.remembered = remembered // 2
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that all begin with white space, by one call: they are encoded as one text, whose ids are
+        cut where a chunk's bytes end."""
+        ids = self._whole("".join(chunks))
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self._direct([text])[0]
-        chunks, known = CHUNK.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        found = {c: known.get(c) or self.before.get(c) for c in chunks}
-        missing = [c for c, x in found.items() if x is None]
-        found.update(zip(missing, self._direct(missing), strict=True))
-        if len(known) > self.remembered:
-            self.before, self.known = known, {}
-        self.known.update((c, x) for c, x in found.items() if len(c) <= 64)
-        return b"".join(map(found.__getitem__, chunks))
+        if not text or ODD_SPACE.search(text):
+            return self._whole(text).tobytes()
+        chunks = CHUNK.findall(text)
+        first, last = chunks[0], chunks[-1]
+        if not first[0].isspace() or last[-1].isspace():  # the ends of a text may lack what parts them from others
+            if len(chunks) < 3:
+                return self._whole(text).tobytes()
+            return b"".join([self._whole(first).tobytes(), *self._words(chunks[1:-1]), self._whole(last).tobytes()])
+        return b"".join(self._words(chunks))
+
+    def _words(self, chunks: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, chunks))
+        if None in out:
+            known, before = self.known, self.before
+            wanted: dict[str, bytes | None] = {c: before.get(c) for c, x in zip(chunks, out, strict=True) if x is None}
+            if missing := [c for c, x in wanted.items() if x is None]:
+                wanted.update(zip(missing, self._each(missing), strict=True))
+            out = [wanted[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
+            if len(known) > self.remembered:
+                self.before, self.known = known, {}
+            self.known.update((c, x) for c, x in wanted.items() if len(c) <= 64)
+        return out
 
 
 @lru_cache(maxsize=2)
