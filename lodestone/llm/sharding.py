@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the rows over buckets by a seeded hash of the doc_id; a bucket fits into memory. Pass two puts each
-bucket into a fixed order, shuffles it by Fisher-Yates under a seed of its own and writes it. The buckets one after
+bucket into a fixed order, shuffles it by Fisher-Yates under a seed of its own and writes it. Only the orders are made
+in Python, as one array of row numbers a bucket; the texts stay in Spark's rows, which are sorted and may spill. The buckets one after
 the other are a random order of all rows; row number p of N goes to shard p * shards // N, so that the shards'
 row counts are at most one apart, whatever the sizes of texts or of groups of copies.
 
@@ -13,12 +14,14 @@ stand for each other. Null texts stay null. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import fresh, scratch_path
 
@@ -51,22 +54,22 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 17, bucke
     for b, n in scattered.groupBy(bucket).count().collect():  # at most max_buckets rows
         counts[b] = n
     offsets, rows = np.cumsum(counts) - counts, int(counts.sum())
-    shared = spark.sparkContext.broadcast(offsets)
-    fields = [f for f in docs.schema.fields] + [T.StructField(shard, T.IntegerType()), T.StructField(slot, T.LongType())]
-    names = docs.columns
+    orders = spark.createDataFrame([(b, int(counts[b]), int(offsets[b])) for b in range(buckets) if counts[b]], "_b int, _n int, _offset long")
 
-    def shuffled(key: tuple, group: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        group = group.select(names)
-        # a fixed order first: rows arrive in any order
-        by = [(c, "ascending") for c in ("doc_id", "text")]
-        group = group.take(pa.compute.sort_indices(group, sort_keys=by))
-        group = group.take(pa.array(fisher_yates(group.num_rows, np.random.default_rng([seed, b]))))
-        p = shared.value[b] + np.arange(group.num_rows)
-        s = p * shards // rows
-        first = -(-s * rows // shards)
-        return group.append_column(shard, pa.array(s, pa.int32())).append_column(slot, pa.array(p - first, pa.int64()))
+    def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                order = pa.array([fisher_yates(n, np.random.default_rng([seed, b]))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), order, pa.array([offset])], names=["_b", "_order", "_offset"])
 
-    out = scattered.groupBy(bucket).applyInArrow(shuffled, T.StructType(fields))
-    out.write.partitionBy(shard).parquet(path)
+    orders = orders.repartition(max(1, min(buckets, 200))).mapInArrow(shuffled, "_b int, _order array<int>, _offset long")
+    # a fixed order first, as rows arrive in any
+    number = F.row_number().over(W.partitionBy(bucket).orderBy("doc_id", F.xxhash64("text")))
+    placed = scattered.withColumn("_number", number).join(orders, F.col(bucket) == F.col("_b"))
+    p = F.col("_offset") + F.element_at("_order", F.col("_number"))
+    placed = placed.withColumn("_p", p).withColumn(shard, F.expr(f"cast(_p * {shards} div {max(1, rows)} as int)"))
+    first = F.expr(f"(cast(`{shard}` as bigint) * {rows} + {shards - 1}) div {shards}")
+    out = placed.withColumn(slot, F.col("_p") - first).select(*docs.columns, shard, slot)
+    out.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    fields = [*[f for f in out.schema.fields if f.name != shard], T.StructField(shard, T.IntegerType())]
     return spark.read.schema(T.StructType(fields)).parquet(path), path
