@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pieces, rules, sharding, tokenfile, urls
+from . import htmltext, licenses, pieces, rules, sharding, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -51,6 +51,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _ = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=40)
     text = F.coalesce("text", F.lit(""))
@@ -118,6 +123,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
+    "op7_html_text": op7_html_text,
     "op8_shards": op8_shards,
     "op10_url_filter": op10_url_filter,
 }
