@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, licenses, pieces, rules, sharding, tokenfile, urls
+from . import htmltext, jaccard, licenses, pieces, rules, sharding, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -65,6 +65,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, URL_RULES, BLOCKED_DOMAINS).select("page_id", "host", "path", "rule", "verdict")
@@ -125,6 +129,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_html_text": op7_html_text,
     "op8_shards": op8_shards,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
 
