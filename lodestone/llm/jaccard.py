@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import scramble, span_hashes
 from .common import delete, stored
 from .components import components
 
@@ -42,31 +43,7 @@ U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-BASE = 0x9E3779B97F4A7C15
-_rng = np.random.default_rng(20)
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-PLACE_VALUE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
-_powers = np.ones(1, U), np.ones(1, U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64, for i < n."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        out = []
-        for b in (BASE, pow(BASE, -1, 1 << 64)):
-            a = np.full(size, b, U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _powers = tuple(out)
-    return _powers
-
-
-def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+PLACE_VALUE = np.random.default_rng(21).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -76,10 +53,7 @@ def word_hashes(text: str) -> np.ndarray:
     space = IS_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = powers(len(data))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+    return span_hashes(data, starts, ends)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:

@@ -34,6 +34,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytehash import Remembering, span_hashes
+
 HEADER = struct.Struct("<4sIIIQQ")
 MAGIC, VERSION = b"LSTK", 1
 
@@ -107,20 +109,22 @@ class TokenFile:
         self.file.close()
 
 
-#: White space as the tokenizer's own splitting knows it in ASCII; texts with any other kind are encoded as a whole.
-CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: Texts with other white space than ASCII's are encoded as a whole.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 class ByteLevelEncoder:
-    """Ids of texts, as little-endian uint32 bytes, by the tokenizers library.
+    """Ids of texts by the tokenizers library.
 
     A byte-level tokenizer splits a text before white space that follows anything else, so a text's ids are those of
     its chunks (white space and what follows it) one after the other. Chunks return; each is encoded once by the
-    library and remembered, about ``remembered`` of them (two generations) and none of over 64 characters.
+    library and remembered under a 64-bit hash of its bytes. A whole slice of texts is cut, hashed and looked up at
+    once in arrays.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -128,42 +132,40 @@ class ByteLevelEncoder:
         # a byte-level token has one character for each byte of text; added tokens stand for themselves
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.width = np.array([added.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(self.tokenizer.get_vocab_size())])
-        self.known, self.before = {}, {}  # two generations: what returns often stays
-        self.remembered = remembered // 2
+        self.known = Remembering(bits)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that all begin with white space, by one call: they are encoded as one text, whose ids are
-        cut where a chunk's bytes end."""
-        ids = self._whole("".join(chunks))
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def encode(self, text: str) -> bytes:
-        if not text or ODD_SPACE.search(text):
-            return self._whole(text).tobytes()
-        chunks = CHUNK.findall(text)
-        first, last = chunks[0], chunks[-1]
-        if not first[0].isspace() or last[-1].isspace():  # the ends of a text may lack what parts them from others
-            if len(chunks) < 3:
-                return self._whole(text).tobytes()
-            return b"".join([self._whole(first).tobytes(), *self._words(chunks[1:-1]), self._whole(last).tobytes()])
-        return b"".join(self._words(chunks))
-
-    def _words(self, chunks: list[str]) -> list[bytes]:
-        out = list(map(self.known.get, chunks))
-        if None in out:
-            known, before = self.known, self.before
-            wanted: dict[str, bytes | None] = {c: before.get(c) for c, x in zip(chunks, out, strict=True) if x is None}
-            if missing := [c for c, x in wanted.items() if x is None]:
-                wanted.update(zip(missing, self._each(missing), strict=True))
-            out = [wanted[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
-            if len(known) > self.remembered:
-                self.before, self.known = known, {}
-            self.known.update((c, x) for c, x in wanted.items() if len(c) <= 64)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _each(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of chunks. Those that begin with white space and do not end with it are encoded by one call, as one
+        text, whose ids are cut where a chunk's bytes end."""
+        out: list[np.ndarray | None] = [None] * len(chunks)
+        joined = [k for k, c in enumerate(chunks) if SPACE[c[0]] and not SPACE[c[-1]]]
+        if joined:
+            ids = self._whole(b"".join([chunks[k] for k in joined]).decode())
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(chunks[k]) for k in joined])) + 1
+            for k, x in zip(joined, np.split(ids, ends[:-1]), strict=True):
+                out[k] = x
+        return [self._whole(chunks[k].decode()) if x is None else x for k, x in enumerate(out)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [self._whole(t) if ODD_SPACE.search(t) else None for t in texts]
+        plain = [k for k, x in enumerate(out) if x is None]
+        coded = [texts[k].encode() for k in plain]
+        bounds = np.cumsum([0, *map(len, coded)])
+        whole = b"".join(coded)
+        data = np.frombuffer(whole, np.uint8)
+        space = SPACE[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = space[1:] & ~space[:-1]
+        begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        ids, counts = self.known.ids(span_hashes(data, starts, ends), lambda at: self._each([whole[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
+        for k, i, j in zip(plain, upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            out[k] = ids[i:j]
         return out
 
 
@@ -180,7 +182,7 @@ class Written:
     bits: int
 
 
-def texts_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[tuple[list, list]]:
+def texts_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[list, list]]:
     """Slices of a batch as Python lists, so that only few texts are Python objects at a time."""
     for i in range(0, batch.num_rows, step):
         part = batch.slice(i, step)
@@ -189,7 +191,7 @@ def texts_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[tuple[list, lis
 
 def write_tokens(docs: DataFrame, path: str, encoder: Callable[[], object], vocabulary: int, end_id: int, block_ids: int = 4096, file_ids: int = 1 << 23) -> Written:
     """Encodes docs (doc_id, text) and writes token files under ``path``, a URI that executors reach (the shared
-    folder). ``encoder`` makes, on each worker, an object with encode(text) -> little-endian uint32 bytes."""
+    folder). ``encoder`` makes, on each worker, an object with encode(texts) -> arrays of ids."""
     bits = bits_for(vocabulary)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -217,9 +219,8 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable[[], object], voca
 
         for batch in batches:
             for doc_ids, texts in texts_of(batch):
-                for doc_id, text in zip(doc_ids, texts, strict=True):
-                    ids = made.encode(text or "") + end
-                    names.append(doc_id), counts.append(len(ids) // 4), held.append(ids)
+                for doc_id, ids in zip(doc_ids, made.encode([t or "" for t in texts]), strict=True):
+                    names.append(doc_id), counts.append(len(ids) + 1), held.append(ids.astype("<u4").tobytes() + end)
                     total += counts[-1]
                     if total >= file_ids:
                         flush()
