@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccard, licenses, pieces, rules, sharding, tokenfile, urls
+from . import decontam, htmltext, jaccard, licenses, pieces, rules, sharding, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -20,6 +20,10 @@ BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 BLOCKED_DOMAINS = tuple(f"{name}.example.{end}" for name in BLOCKED_NAMES for end in ("com", "net", "org"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def piece_settings() -> pieces.Settings:
     return pieces.Settings(tokenizer_path("piece_bpe_32k.model"))
 
@@ -122,7 +126,25 @@ def _license_sql(threshold: float = 0.8) -> str:
         FROM places LEFT JOIN found USING (doc_id)"""
 
 
+def _leak_sql(percent: int = 80) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def shingles(key: str, source: str) -> str:
+        lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"""(SELECT DISTINCT k, {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM (SELECT row_number() OVER () AS k, {key}, regexp_extract_all({lower}, '{pattern}') AS w FROM {source}))"""
+
+    return f"""
+        WITH d AS {shingles("doc_id", "documents")}, b AS {shingles("item_id", "benchmark")},
+        sizes AS (SELECT k, count(*) AS n_item FROM b GROUP BY k),
+        common AS (SELECT d.k AS dk, doc_id, b.k AS bk, item_id, count(*) AS n_common FROM d JOIN b USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_item::BIGINT AS n_item, n_common::BIGINT AS n_common, n_common / n_item AS containment
+        FROM common JOIN sizes ON bk = k WHERE 100 * n_common >= {percent} * n_item"""
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
@@ -134,6 +156,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_decontamination": _leak_sql(),
     "op6_license_scan": _license_sql(),
     "op10_url_filter": _url_sql(),
 }
