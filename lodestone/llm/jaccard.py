@@ -27,7 +27,7 @@ columns of documents are not looked at. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,24 +156,43 @@ def first_shingles(s: np.ndarray, classes: np.ndarray, shift: int, percent: int,
     return s[:p], c[:p]
 
 
-def shared_shingles(docs: DataFrame, classes: np.ndarray, width: int, percent: int, spread: int, partitions: int, hot_class: int = 17) -> tuple[DataFrame, str]:
+def first_of_documents(classes: np.ndarray, width: int, percent: int, spread: int) -> Callable:
+    """For shared_shingles: the first shingles of each text (column 0), one set a text."""
+    shift = 64 - (len(classes) - 1).bit_length()
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        known: set[int] = set()
+        for (text,) in _rows(batches):
+            s = shingles(text, width)
+            sig = signature(s)
+            if not len(s) or sig in known:
+                continue
+            if len(known) < 1_000_000:
+                known.add(sig)  # copies within a task; all others meet in their buckets
+            t, c = first_shingles(s, classes, shift, percent, spread)
+            yield t, np.full(len(t), sig, np.int64), np.arange(len(t), dtype=np.int32), c
+
+    return firsts
+
+
+def shared_shingles(docs: DataFrame, classes: np.ndarray, firsts: Callable, partitions: int, hot_class: int = 17) -> tuple[DataFrame, str]:
     """(token, sig, place) for the first shingles of every set that another set's first shingles have, too.
 
-    A bucket's shingles are sorted in one task; those of a class from ``hot_class`` (counts over 2**16) are spread by
-    signature and kept without a test, so no task gathers all sets of a hot shingle."""
+    ``firsts`` turns record batches of docs into arrays (shingle, signature, place, class). A bucket's shingles are
+    sorted in one task; those of a class from ``hot_class`` (counts over 2**16) are spread by signature and kept
+    without a test, so no task gathers all sets of a hot shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     shift = 64 - (len(classes) - 1).bit_length()
     buckets = 8 * partitions
     packed = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("sigs", pa.binary()), ("places", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            t, g, p, hot = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = scramble(np.where(hot, t ^ scramble(g.view(U)), t))
+            t, g, p, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            key = scramble(np.where(c >= hot_class, t ^ scramble(g.view(U)), t))
             b = (key % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             t, g, p, b = t[order], g[order], p[order], b[order]
@@ -181,17 +200,11 @@ def shared_shingles(docs: DataFrame, classes: np.ndarray, width: int, percent: i
             rows = [(int(b[i]), t[i:j].tobytes(), g[i:j].tobytes(), p[i:j].tobytes()) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True)]
             return _batch(rows, packed)
 
-        for (text,) in _rows(batches):
-            s = shingles(text, width)
-            sig = signature(s)
-            if not len(s) or sig in known:
-                continue
-            if len(known) < 1_000_000:
-                known.add(sig)  # copies within a task; all others meet in their buckets
-            t, c = first_shingles(s, shared.value, shift, percent, spread)
-            held.append((t, np.full(len(t), sig, np.int64), np.arange(len(t), dtype=np.int32), c >= hot_class))
-            size += len(t)
-            if size > 2_000_000:
+        for arrays in firsts(batches):
+            if len(arrays[0]):
+                held.append(arrays)
+                size += len(arrays[0])
+            if size > 1_000_000:
                 yield flush()
                 held.clear()
                 size = 0
@@ -220,7 +233,7 @@ def shared_shingles(docs: DataFrame, classes: np.ndarray, width: int, percent: i
         for i in range(0, len(t), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (t, g, p)], schema=found)
 
-    blobs = docs.select("text").mapInArrow(pack, "bucket int, tokens binary, sigs binary, places binary")
+    blobs = docs.mapInArrow(pack, "bucket int, tokens binary, sigs binary, places binary")
     rows = blobs.repartition(partitions, "bucket").mapInArrow(keep, "token long, sig long, place int")
     return stored(rows, "shared")
 
@@ -330,7 +343,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs, classes, width, percent, spread, partitions)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent, spread), partitions)
     sigs, sigs_path = stored(rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "signatures")
     lists, lists_path = stored(shared.join(sigs.select("sig", "n"), "sig"), "lists")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, licenses, pieces, rules, sharding, tokenfile, urls
+from . import decontam, htmltext, jaccard, licenses, linededup, pieces, rules, sharding, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -38,6 +38,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"judged.{n}" for n in names])
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts="lines")
+    return kept.select("doc_id", "lines.*", "text")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -147,6 +152,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
     "op7_html_text": op7_html_text,
