@@ -3,7 +3,7 @@
 Two documents link when the Jaccard similarity of their shingle sets is at least ``percent`` / 100. Equal sets are one
 set from the start (a set's signature stands for it), so exact copies cost nothing. A set of n shingles that has a
 partner shares at least need = ceil(percent * n / 100) shingles with it; hence, in any order of all shingles that all
-sets keep to, the first n - need + extra of both have at least ``extra`` in common. Steps:
+sets keep to, the first n - need + 1 of both have one in common. Steps:
 
 1. One pass over the texts: every set's size and signature, and a count sketch of all shingles, of fixed size. The
    order puts shingles first whose count does not stand out, then the frequent ones by rising count, each by hash.
@@ -12,8 +12,9 @@ sets keep to, the first n - need + extra of both have at least ``extra`` in comm
    first, so the one with the least of its own); sets that link form a group. Large families of near copies fall into
    one group or few that way, by one test a set.
 4. The token-group matrix: for each shingle the groups whose union has it, with their range of sizes and places. A
-   query set is bounded against a whole group by the shingles they share among the first ones; only groups that
-   reach the bound are opened, and only members that pass the length and positional filters become pairs.
+   query set is bounded against a whole group: from the first shingle on that both have, no more can be common than
+   the shorter rest. Only groups that reach the bound are opened, and only members that pass the length and positional
+   filters become pairs.
 5. Pairs are verified: an upper bound of the overlap by a bitmap first, then the exact overlap. Links give components.
 
 Steps 3 to 5 work on the shingles and sets left by step 2; nothing is collected but the sketch and bitmaps of fixed
@@ -145,18 +146,18 @@ def frequency_classes(measured: DataFrame, sketch_bits: int, total: int) -> np.n
     return np.where(hot, 1 + np.ceil(np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
 
 
-def first_shingles(s: np.ndarray, classes: np.ndarray, shift: int, percent: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set's first shingles in the common order, and their classes. With them, any partner shares extra(n)."""
+def first_shingles(s: np.ndarray, classes: np.ndarray, shift: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set's first shingles in the common order, and their classes; any partner has one of them."""
     n = len(s)
     c = classes[(s >> U(shift)).astype(np.int64)]
     if c.any():
         order = np.argsort(c, kind="stable")  # s is sorted by hash
         s, c = s[order], c[order]
-    p = min(n, n + (percent * n // -100) + 1 + n // spread)
+    p = min(n, n + (percent * n // -100) + 1)
     return s[:p], c[:p]
 
 
-def first_of_documents(classes: np.ndarray, width: int, percent: int, spread: int) -> Callable:
+def first_of_documents(classes: np.ndarray, width: int, percent: int) -> Callable:
     """For shared_shingles: the first shingles of each text (column 0), one set a text."""
     shift = 64 - (len(classes) - 1).bit_length()
 
@@ -169,7 +170,7 @@ def first_of_documents(classes: np.ndarray, width: int, percent: int, spread: in
                 continue
             if len(known) < 1_000_000:
                 known.add(sig)  # copies within a task; all others meet in their buckets
-            t, c = first_shingles(s, classes, shift, percent, spread)
+            t, c = first_shingles(s, classes, shift, percent)
             yield t, np.full(len(t), sig, np.int64), np.arange(len(t), dtype=np.int32), c
 
     return firsts
@@ -286,10 +287,14 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 <<
     return stored(made.join(wanted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "tokens")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of signatures whose sets reach the similarity."""
     flow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ta", pa.binary())])
-    ends = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -311,7 +316,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if 100 * common >= percent * (len(x) + len(y) - common):
                 out.append((a, b))
         if out:
-            yield _batch(out, ends)
+            yield _batch(out, pair)
 
     maps = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), "map")
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
@@ -320,21 +325,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return likely.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(certain, "a long, b long")
 
 
-def extra(n: str, spread: int) -> str:
-    return f"(1 + {n} div {spread})"
-
-
 def compatible(na: str, nb: str, percent: int) -> str:
+    """Length filter."""
     return f"(100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}))"
 
 
 def reachable(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
-    """Positional filter for the pair's first common shingle or any later one: what is left behind must suffice once
-    all common ones before it are counted as at most its place."""
-    return f"((least({pa_}, {pb}) + least({na} - {pa_}, {nb} - {pb})) * {100 + percent} >= {percent} * ({na} + {nb}))"
+    """Positional filter: if this is the first shingle that both have, no more than what stands from it on can be
+    common. A pair that links passes at its first common shingle."""
+    return f"(least({na} - {pa_}, {nb} - {pb}) * {100 + percent} >= {percent} * ({na} + {nb}))"
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, spread: int = 32) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -343,17 +345,17 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent, spread), partitions)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent), partitions)
     sigs, sigs_path = stored(rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "signatures")
     lists, lists_path = stored(shared.join(sigs.select("sig", "n"), "sig"), "lists")
 
     # groups: one test against a leader for each set
     leaders = lists.groupBy("token").agg(F.min(F.struct("place", "sig", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    key = lists.join(leaders, "token").where(f"sig <> l.sig AND {compatible('n', 'l.n', percent)}")
+    key = lists.join(leaders, "token").where(f"sig <> l.sig AND {compatible('n', 'l.n', percent)} AND {reachable('n', 'place', 'l.n', 'l.place', percent)}")
     key = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k"))
     star = key.select(F.least("sig", "k.leader").alias("a"), F.greatest("sig", "k.leader").alias("b")).distinct()
     star, star_path = stored(star, "star")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sigs, "sig")
+    wanted = ends(star).join(sigs, "sig")
     sets, sets_path = fetch_sets(docs, wanted, width)
     links, links_path = stored(verify(star, sets, percent), "links")
     delete(spark, sets_path)
@@ -362,21 +364,21 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     # the token-group matrix, and the groups that queries open
     entries = lists.join(groups, lists["sig"] == groups["node"], "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("grp"))
     entries, entries_path = stored(entries, "entries")
-    matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     matrix = matrix.join(several, "token").withColumnRenamed("grp", "g")
     queries = entries.join(several, "token", "left_semi")
-    hits = queries.join(matrix, "token").where(f"grp < g AND 100 * n >= {percent} * lo AND 100 * hi >= {percent} * n")
-    # any partner in the group is no smaller than percent of the query, and shares extra() of the smaller one
-    bound = hits.groupBy("sig", "g").agg(F.count("*").alias("hits"), F.min("n").alias("n")).where(f"hits >= 1 + (({percent} * n + 99) div 100) div {spread}")
-    opened, opened_path = stored(bound.select("sig", "g"), "opened")
+    # overlap with the group's union, seen from their first common shingle, against what its smallest fitting member asks for
+    bound = f"least(n - place, hi - first) * {100 * (100 + percent)} >= {percent} * (100 * n + greatest(100 * lo, {percent} * n))"
+    fits = queries.join(matrix, (queries["token"] == matrix["token"]) & F.expr(f"grp < g AND 100 * n >= {percent} * lo AND 100 * hi >= {percent} * n AND {bound}"))
+    opened, opened_path = stored(fits.select("sig", "g").distinct(), "opened")
     q = entries.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
     q = q.join(opened.select(F.col("sig").alias("a"), "g"), "a")
-    members = entries.select("token", F.col("grp").alias("g"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    near = q.join(members, ["token", "g"]).where(f"{compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}")
-    pairs = near.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min(F.least("na", "nb")).alias("n")).where(f"hits >= {extra('n', spread)}")
-    pairs, pairs_path = stored(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sigs, "sig")
+    members = entries.select(F.col("token").alias("t"), F.col("grp").alias("mg"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    near = q.join(members, (q["token"] == members["t"]) & (q["g"] == members["mg"]) & F.expr(f"{compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
+    pairs = near.select("a", "b").distinct()
+    pairs, pairs_path = stored(pairs, "pairs")
+    wanted = ends(pairs).join(sigs, "sig")
     sets, sets_path = fetch_sets(docs, wanted, width)
     more, more_path = stored(verify(pairs, sets, percent), "links")
     delete(spark, sets_path)

@@ -7,11 +7,11 @@ does not matter, so the result does not depend on an order of work.
 
 1. One pass: every line's set size, signature and position, and a count sketch of all tokens, of fixed size. Rarity
    order: tokens whose count does not stand out come first, then the frequent ones by rising count, each by hash.
-2. A second pass: the first n - need + extra tokens of each set by rarity (prefix filter, need = ceil(percent * n /
+2. A second pass: the first n - need + 1 tokens of each set by rarity (prefix filter, need = ceil(percent * n /
    100)), packed by hash bucket; buckets drop tokens that one set alone has. Equal sets are one set.
 3. A set's first line goes if one earlier set matches it; one witness is enough. So each set is first tested against
    the earliest set that has its most shared token; those still open are tested against every earlier set that shares
-   enough tokens and passes the length and positional filters. Tests are exact Jaccard similarities.
+   one of them and passes the length and positional filters. Tests are exact Jaccard similarities.
 4. Removed lines are gathered by document and taken out of the texts.
 
 Null texts stay null, and texts without any removed line stay as they are, byte for byte. Rows of the same doc_id and
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
 from .common import delete, fresh, stored
-from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, PLACE_VALUE, U, M64, _batch, bitmap, bits_of, compatible, extra, frequency_classes, reachable, shared_shingles, verify
+from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, PLACE_VALUE, U, M64, _batch, bitmap, bits_of, compatible, ends, frequency_classes, reachable, shared_shingles, verify
 
 
 def line_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
     return stored(docs.mapInArrow(run, "kind int, doc_id long, tie long, line int, n long, sig long, counts binary"), "lines")
 
 
-def first_of_lines(classes: np.ndarray, width: int, percent: int, spread: int) -> Callable:
+def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
     shift = 64 - (len(classes) - 1).bit_length()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -123,7 +123,7 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int, spread: int) -
                 order = np.lexsort((c, line))  # stable: by line, then class, then hash
                 s, c = s[order], c[order]
             place = np.arange(len(s)) - np.repeat(first, counts)
-            p = np.minimum(counts, counts + (percent * counts // -100) + 1 + counts // spread)
+            p = np.minimum(counts, counts + (percent * counts // -100) + 1)
             keep = (place < np.repeat(p, counts)) & np.repeat(take, counts)
             yield s[keep], np.repeat(sigs, counts)[keep], place[keep].astype(np.int32), c[keep]
 
@@ -167,7 +167,7 @@ def _sig_marks(wanted: DataFrame, bits: int) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, spread: int = 32) -> tuple[DataFrame, str]:
+def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> tuple[DataFrame, str]:
     """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
     spark = docs.sparkSession
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tie"))
@@ -176,26 +176,25 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     total = lines.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent, spread), partitions)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent), partitions)
     sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min(F.struct("at", "doc_id")).alias("first"), F.count("*").alias("copies")).select("sig", "n", "first.*", "copies"), "signatures")
     lists, lists_path = stored(shared.join(sigs.select("sig", "n", "at"), "sig"), "lists")
 
     # one witness for each set: the earliest set of its most shared token
-    leaders = lists.groupBy("token").agg(F.min(F.struct("at", "sig", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    key = lists.join(leaders, "token").where(f"l.at < at AND {compatible('n', 'l.n', percent)}")
+    leaders = lists.groupBy("token").agg(F.min(F.struct("at", "sig", "n", "place")).alias("l"), F.count("*").alias("size")).where("size > 1")
+    key = lists.join(leaders, "token").where(f"l.at < at AND {compatible('n', 'l.n', percent)} AND {reachable('n', 'place', 'l.n', 'l.place', percent)}")
     star = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k")).select(F.col("sig").alias("a"), F.col("k.leader").alias("b"))
     star, star_path = stored(star, "star")
-    sets, sets_path = fetch_lines(docs, star.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sigs, "sig"), width)
+    sets, sets_path = fetch_lines(docs, ends(star).join(sigs, "sig"), width)
     late, late_path = stored(verify(star, sets, percent).select(F.col("a").alias("sig")), "late")
     delete(spark, sets_path)
 
     # every earlier set for those still open
     q = lists.join(late, "sig", "left_anti").select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("at").alias("ata"))
-    m = lists.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("atb"))
-    near = q.join(m, "token").where(f"atb < ata AND {compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}")
-    pairs = near.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min(F.least("na", "nb")).alias("n")).where(f"hits >= {extra('n', spread)}").select("a", "b")
-    pairs, pairs_path = stored(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    sets, sets_path = fetch_lines(docs, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sigs, "sig"), width)
+    m = lists.select(F.col("token").alias("t"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("atb"))
+    near = q.join(m, (q["token"] == m["t"]) & F.expr(f"atb < ata AND {compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
+    pairs, pairs_path = stored(near.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    sets, sets_path = fetch_lines(docs, ends(pairs).join(sigs, "sig"), width)
     more = verify(pairs, sets, percent).select(F.col("a").alias("sig"))
     late = late.unionByName(more).distinct().withColumn("late", F.lit(True))
 
