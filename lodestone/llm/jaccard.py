@@ -391,3 +391,16 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     for path in (shared_path, sigs_path, lists_path, star_path, links_path, groups_path, entries_path, opened_path, pairs_path, more_path, roots_path):
         delete(spark, path)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs' rows without those that are linked, over however many links, with a smaller doc_id. Rows without doc_id
+    stay; of rows with the same doc_id and text one stays."""
+    linked, _ = stored(link(docs, width, percent), "linked")
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    twice = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    if not twice.isEmpty():
+        single = out.join(twice, out["doc_id"] == twice["_id"], "left_anti")
+        out = single.unionByName(out.join(twice, out["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
