@@ -1,4 +1,4 @@
-"""Scalar functions on texts, sizes, tokens and times. All are built-in expressions."""
+"""Scalar functions on texts, sizes, tokens and times. All are built-in expressions; one decimal is rounded half up."""
 
 from __future__ import annotations
 
