@@ -57,16 +57,19 @@ def word_hashes(text: str) -> np.ndarray:
     return span_hashes(data, starts, ends)
 
 
+def combine(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row."""
+    k = len(w) - n + 1
+    s = np.full(k, n, U)
+    for i in range(n):
+        s += w[i : k + i] * PLACE_VALUE[i]
+    return scramble(s)
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted distinct shingles; of a text with fewer words than width, all of them as one."""
     w = word_hashes(text) if text else np.zeros(0, U)
-    if not len(w):
-        return w
-    n = min(width, len(w))
-    s = np.full(len(w) - n + 1, n, U)
-    for i in range(n):
-        s = scramble(s + w[i : len(w) - n + 1 + i] * PLACE_VALUE[i])
-    return np.unique(s)
+    return np.unique(combine(w, min(width, len(w)))) if len(w) else w
 
 
 def signature(s: np.ndarray) -> int:

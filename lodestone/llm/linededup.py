@@ -31,7 +31,11 @@ from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
 from .common import delete, fresh, stored
-from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, PLACE_VALUE, U, M64, _batch, bitmap, bits_of, compatible, ends, frequency_classes, reachable, shared_shingles, verify
+from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bitmap, bits_of, combine, compatible, ends, frequency_classes, reachable, shared_shingles, verify
+
+
+#: A token is a hash of so many bits, in a 64-bit number's upper end.
+TOKEN_BITS = 44
 
 
 def line_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,18 +52,22 @@ def line_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
     if len(starts) < width:
         return empty, empty, empty, empty, np.zeros(0, U)
     w = span_hashes(data, starts, ends)
-    breaks = np.cumsum(data == 10)
-    line = breaks[starts]
-    s = np.full(len(w) - width + 1, width, U)
-    for i in range(width):
-        s = scramble(s + w[i : len(w) - width + 1 + i] * PLACE_VALUE[i])
+    line = np.cumsum(data == 10)[starts]
     whole = line[width - 1 :] == line[: len(line) - width + 1]
-    s, line = s[whole], line[: len(line) - width + 1][whole]
-    order = np.lexsort((s, line))
-    s, line = s[order], line[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (line[1:] != line[:-1])
-    s, line = s[new], line[new]
+    s, line = combine(w, width)[whole], line[: len(line) - width + 1][whole]
+    if not len(s):
+        return empty, empty, empty, empty, s
+    if line[-1] < 1 << (64 - TOKEN_BITS):
+        # line number and token in one integer, which sorts several times faster than two keys
+        key = np.sort(line.astype(U) << U(TOKEN_BITS) | s >> U(64 - TOKEN_BITS))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        s, line = key << U(64 - TOKEN_BITS), (key >> U(TOKEN_BITS)).astype(np.int64)
+    else:
+        s = s >> U(64 - TOKEN_BITS) << U(64 - TOKEN_BITS)
+        order = np.lexsort((s, line))
+        s, line = s[order], line[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (line[1:] != line[:-1])])
+        s, line = s[new], line[new]
     first = np.flatnonzero(np.diff(line, prepend=-1))
     counts = np.diff(np.append(first, len(s)))
     at = line[first]  # line number in the slice
@@ -90,7 +98,7 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
             text, number, first, counts, s = line_shingles(texts, width)
             if not len(first):
                 continue
-            np.add.at(sketch, (s >> U(64 - sketch_bits)).astype(np.int64), 1)
+            sketch += np.bincount((s >> U(64 - sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             ids = pa.array(doc_ids, pa.int64()).take(pa.array(text))
             k = len(first)
             yield pa.RecordBatch.from_arrays(
@@ -119,9 +127,10 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
             take[once] = True
             c = classes[(s >> U(shift)).astype(np.int64)]
             line = np.repeat(np.arange(len(first)), counts)
-            if c.any():
-                order = np.lexsort((c, line))  # stable: by line, then class, then hash
-                s, c = s[order], c[order]
+            if c.any():  # lines with a frequent token: by class, then hash
+                some = np.flatnonzero(np.isin(line, line[c > 0]))
+                order = some[np.lexsort((s[some], c[some], line[some]))]
+                s[some], c[some] = s[order], c[order]
             place = np.arange(len(s)) - np.repeat(first, counts)
             p = np.minimum(counts, counts + (percent * counts // -100) + 1)
             keep = (place < np.repeat(p, counts)) & np.repeat(take, counts)
@@ -172,12 +181,14 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     spark = docs.sparkSession
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tie"))
     measured, measured_path = measure_lines(docs, width, sketch_bits)
-    lines = measured.where("kind = 0").select("sig", "n", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "tie", "line").alias("at"), "doc_id")
+    # (doc_id, tie, line) as one number that hash aggregation can hold
+    at = F.expr(f"cast(coalesce(doc_id, {-(1 << 63) + 1}) as decimal(19, 0)) * cast(1000000000000000000 as decimal(19, 0)) + cast(pmod(tie, 100000000) * 10000000000 + line as decimal(18, 0))")
+    lines = measured.where("kind = 0").select("sig", "n", at.cast("decimal(38, 0)").alias("at"), "doc_id", "tie", "line")
     total = lines.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
     shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent), partitions)
-    sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min(F.struct("at", "doc_id")).alias("first"), F.count("*").alias("copies")).select("sig", "n", "first.*", "copies"), "signatures")
+    sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "signatures")
     lists, lists_path = stored(shared.join(sigs.select("sig", "n", "at"), "sig"), "lists")
 
     # one witness for each set: the earliest set of its most shared token
@@ -201,7 +212,7 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     # a line goes if its set has an earlier line or an earlier match
     verdict = sigs.join(late, "sig", "left").where("late OR copies > 1").select("sig", F.col("at").alias("kept"), F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.join(verdict, "sig").where("late OR at <> kept")
-    out = gone.groupBy("doc_id", F.col("at.tie").alias("tie")).agg(F.array_sort(F.collect_set("at.line")).alias("lines"))
+    out = gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     kept = stored(out, "removed")
     for path in (measured_path, shared_path, sigs_path, lists_path, star_path, late_path, pairs_path, sets_path):
         delete(spark, path)
