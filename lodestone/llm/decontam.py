@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, delete, stored
+from .common import ascii_lower, delete, fresh, stored
 from .licenses import words
 from .urls import Level, positions
 
@@ -89,5 +89,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs without the documents in which an item is found."""
-    leaks = find_leaks(docs, benchmark, percent, width).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    key, tie = fresh(docs, "leak_id"), fresh(docs, "leak_hash")
+    leaks = find_leaks(docs, benchmark, percent, width).select(F.col("doc_id").alias(key), F.col("text_hash").alias(tie)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie)), "left_anti")

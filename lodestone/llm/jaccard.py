@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
-from .common import delete, stored
+from .common import delete, fresh, stored
 from .components import components
 
 M64 = (1 << 64) - 1
@@ -400,10 +400,11 @@ def drop_linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """docs' rows without those that are linked, over however many links, with a smaller doc_id. Rows without doc_id
     stay; of rows with the same doc_id and text one stays."""
     linked, _ = stored(link(docs, width, percent), "linked")
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    twice = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    key = fresh(docs, "gone_id")
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    out = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    twice = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
     if not twice.isEmpty():
-        single = out.join(twice, out["doc_id"] == twice["_id"], "left_anti")
-        out = single.unionByName(out.join(twice, out["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+        single = out.join(twice, F.col("doc_id") == F.col(key), "left_anti")
+        out = single.unionByName(out.join(twice, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

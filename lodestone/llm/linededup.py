@@ -223,11 +223,11 @@ def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str
     """docs' columns in their order, text without its removed lines; with ``counts``, a struct of that name with
     n_lines and n_removed after them."""
     removed, _ = removed_lines(docs, width, percent)
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("lines").alias("_lines"))
-    tie = fresh(docs, "tie")
+    key, tie, gone, mine = (fresh(docs, c) for c in ("gone_id", "gone_tie", "gone_lines", "text_tie"))
+    removed = removed.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("lines").alias(gone))
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    joined = docs.withColumn(tie, F.xxhash64("text")).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(tie) == F.col("_tie")), "left")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left).alias("text")
-    more = [F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed")).alias(counts)] if counts else []
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    joined = docs.withColumn(mine, F.xxhash64("text")).join(removed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(tie)), "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")
+    more = [F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")).alias(counts)] if counts else []
     return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns], *more)

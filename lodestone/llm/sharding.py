@@ -45,7 +45,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 17, bucke
     holds."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
-    bucket, shard, slot = fresh(docs, "bucket"), fresh(docs, "shard"), fresh(docs, "slot")
+    bucket, shard, slot, number, at = (fresh(docs, c) for c in ("bucket", "shard", "slot", "number", "at"))
+    names = [fresh(docs, c) for c in ("order_bucket", "order", "order_offset")]
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16).cast("long"))).first()[0] or 0
     buckets = min(max_buckets, max(1, math.ceil(total / bucket_bytes)))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
@@ -54,22 +55,21 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 17, bucke
     for b, n in scattered.groupBy(bucket).count().collect():  # at most max_buckets rows
         counts[b] = n
     offsets, rows = np.cumsum(counts) - counts, int(counts.sum())
-    orders = spark.createDataFrame([(b, int(counts[b]), int(offsets[b])) for b in range(buckets) if counts[b]], "_b int, _n int, _offset long")
+    orders = spark.createDataFrame([(b, int(counts[b]), int(offsets[b])) for b in range(buckets) if counts[b]], "b int, n int, offset long")
 
     def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, n, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 order = pa.array([fisher_yates(n, np.random.default_rng([seed, b]))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), order, pa.array([offset])], names=["_b", "_order", "_offset"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), order, pa.array([offset])], names=names)
 
-    orders = orders.repartition(max(1, min(buckets, 200))).mapInArrow(shuffled, "_b int, _order array<int>, _offset long")
+    orders = orders.repartition(max(1, min(buckets, 200))).mapInArrow(shuffled, "`{}` int, `{}` array<int>, `{}` long".format(*names))
     # a fixed order first, as rows arrive in any
-    number = F.row_number().over(W.partitionBy(bucket).orderBy("doc_id", F.xxhash64("text")))
-    placed = scattered.withColumn("_number", number).join(orders, F.col(bucket) == F.col("_b"))
-    p = F.col("_offset") + F.element_at("_order", F.col("_number"))
-    placed = placed.withColumn("_p", p).withColumn(shard, F.expr(f"cast(_p * {shards} div {max(1, rows)} as int)"))
+    rank = F.row_number().over(W.partitionBy(bucket).orderBy("doc_id", F.xxhash64("text")))
+    placed = scattered.withColumn(number, rank).join(orders, F.col(bucket) == F.col(names[0]))
+    placed = placed.withColumn(at, F.col(names[2]) + F.element_at(names[1], F.col(number))).withColumn(shard, F.expr(f"cast(`{at}` * {shards} div {max(1, rows)} as int)"))
     first = F.expr(f"(cast(`{shard}` as bigint) * {rows} + {shards - 1}) div {shards}")
-    out = placed.withColumn(slot, F.col("_p") - first).select(*docs.columns, shard, slot)
+    out = placed.withColumn(slot, F.col(at) - first).select(*docs.columns, shard, slot)
     out.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     fields = [*[f for f in out.schema.fields if f.name != shard], T.StructField(shard, T.IntegerType())]
     return spark.read.schema(T.StructType(fields)).parquet(path), path
