@@ -61,7 +61,7 @@ def indent_level(line: Column) -> Column:
 
 
 def clean_parameters(parameters: Column) -> Column:
-    kept = F.filter(F.transform(F.split(parameters, ","), F.trim), lambda x: ~x.startswith("self"))
+    kept = F.filter(F.transform(F.split(parameters, ","), lambda x: F.trim(x)), lambda x: ~x.startswith("self"))
     return F.array_join(kept, ", ")
 
 

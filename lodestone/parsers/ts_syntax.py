@@ -150,7 +150,7 @@ class _Reader:
             if self.peek() == "{":
                 a, b = self.group()
                 parts = self.between(a, b).split(",")
-                names += [p.split(" as ")[-1].removeprefix("type ").strip() for p in parts if p.strip()]
+                names += [p.split(" as ")[-1].strip().removeprefix("type ") for p in parts if p.strip()]
             elif self.accept("*"):
                 self.accept("as")
                 names.append(self.take().text)
