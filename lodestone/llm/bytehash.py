@@ -30,12 +30,25 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+BLOCK = 1 << 16
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], by sums of byte values times powers of their place."""
-    power, inverse = powers(max(1, len(data)))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+    """A 64-bit hash of each data[start:end], by sums of byte values times powers of their place. Spans follow one
+    another. Works in blocks that fit into a core's cache; only a span longer than that takes more memory at a time."""
+    out = np.empty(len(starts), U)
+    k = 0
+    while k < len(starts):
+        base = int(starts[k])
+        m = max(k + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        s, e = starts[k:m] - base, ends[k:m] - base
+        n = int(e[-1])
+        power, inverse = powers(n)
+        sums = np.zeros(n + 1, U)
+        np.cumsum(BYTE_VALUE[data[base : base + n]] * power[:n], out=sums[1:])
+        out[k:m] = scramble((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U))
+        k = m
+    return out
 
 
 class IdTable:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,32 @@ SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows that Spark puts into one Arrow batch of texts; bounds the batch's memory outside the heap.
+BATCH_ROWS = 2000
+#: Bytes of text that operators in Python work on at a time, but at least one text.
+SLICE_BYTES = 1 << 19
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: keeps the session's Arrow batches at BATCH_ROWS rows or what it has set lower."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about SLICE_BYTES in a text column, and 1024 rows at most."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) if batch.num_rows else np.zeros(0, np.int64)
+        upto, i = np.cumsum(sizes), 0
+        while i < batch.num_rows:
+            before = upto[i - 1] if i else 0
+            j = min(max(i + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))), i + 1024, batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
@@ -200,6 +202,7 @@ def main_text(source: str | None, threshold: float = 0.5, share: float = 0.9) ->
 
 def extract(pages: DataFrame, html: str = "html", output: str = "text") -> DataFrame:
     """pages' columns but the html, and the main text."""
+    small_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in (html, output)]
     schema = T.StructType([*kept, T.StructField(output, T.StringType())])
 

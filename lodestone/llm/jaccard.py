@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
-from .common import delete, fresh, stored
+from .common import delete, fresh, small_batches, stored
 from .components import components
 
 M64 = (1 << 64) - 1
@@ -342,6 +342,7 @@ def reachable(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
 def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     measured, measured_path = measure(docs, width, sketch_bits)
     rows = measured.where("kind = 0")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
-from .common import delete, fresh, stored
+from .common import delete, fresh, slices, small_batches, stored
 from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bitmap, bits_of, combine, compatible, ends, frequency_classes, reachable, shared_shingles, verify
 
 
@@ -82,19 +82,14 @@ def line_signatures(first: np.ndarray, counts: np.ndarray, s: np.ndarray) -> np.
     return scramble(np.add.reduceat(scramble(s + U(0x632BE59BD9B4E019)), first) + counts.astype(U) * U(0x9E3779B97F4A7C15 & M64)).view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[list]]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, step):
-            yield [c.to_pylist() for c in batch.slice(i, step).columns]
-
-
 def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFrame, str]:
     """A table of kind 0: a line's (doc_id, tie, line, n, sig); kind 1: a part of a task's count sketch, n its number."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << sketch_bits, np.uint32)
-        for texts, doc_ids, ties in _slices(batches):
+        for part in slices(batches):
+            texts, doc_ids, ties = (c.to_pylist() for c in part.columns)
             text, number, first, counts, s = line_shingles(texts, width)
             if not len(first):
                 continue
@@ -117,8 +112,8 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
     shift = 64 - (len(classes) - 1).bit_length()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for texts, *_ in _slices(batches):
-            _, _, first, counts, s = line_shingles(texts, width)
+        for part in slices(batches):
+            _, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width)
             if not len(first):
                 continue
             sigs = line_signatures(first, counts, s)
@@ -151,8 +146,8 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 <<
         for batch in batches:
             p = batch.column(1).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((doc_marks.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-            for i in range(0, len(hit), 256):
-                _, _, first, counts, s = line_shingles(batch.column(0).take(pa.array(hit[i : i + 256])).to_pylist(), width)
+            for part in slices([batch.take(pa.array(hit))]):
+                _, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width)
                 sigs = line_signatures(first, counts, s)
                 at = (sigs.view(U) % U(bits)).astype(np.int64)
                 out = []
@@ -179,6 +174,7 @@ def _sig_marks(wanted: DataFrame, bits: int) -> np.ndarray:
 def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> tuple[DataFrame, str]:
     """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tie"))
     measured, measured_path = measure_lines(docs, width, sketch_bits)
     # (doc_id, tie, line) as one number that hash aggregation can hold

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import Remembering, span_hashes
+from .common import slices, small_batches
 
 HEADER = struct.Struct("<4sIIIQQ")
 MAGIC, VERSION = b"LSTK", 1
@@ -182,16 +183,10 @@ class Written:
     bits: int
 
 
-def texts_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[list, list]]:
-    """Slices of a batch as Python lists, so that only few texts are Python objects at a time."""
-    for i in range(0, batch.num_rows, step):
-        part = batch.slice(i, step)
-        yield part.column(0).to_pylist(), part.column(1).to_pylist()
-
-
 def write_tokens(docs: DataFrame, path: str, encoder: Callable[[], object], vocabulary: int, end_id: int, block_ids: int = 4096, file_ids: int = 1 << 23) -> Written:
     """Encodes docs (doc_id, text) and writes token files under ``path``, a URI that executors reach (the shared
     folder). ``encoder`` makes, on each worker, an object with encode(texts) -> arrays of ids."""
+    small_batches(docs.sparkSession)
     bits = bits_for(vocabulary)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -217,13 +212,13 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable[[], object], voca
             names.clear(), counts.clear(), held.clear()
             seq, total = seq + 1, 0
 
-        for batch in batches:
-            for doc_ids, texts in texts_of(batch):
-                for doc_id, ids in zip(doc_ids, made.encode([t or "" for t in texts]), strict=True):
-                    names.append(doc_id), counts.append(len(ids) + 1), held.append(ids.astype("<u4").tobytes() + end)
-                    total += counts[-1]
-                    if total >= file_ids:
-                        flush()
+        for part_ in slices(batches, 1):
+            texts = [t or "" for t in part_.column(1).to_pylist()]
+            for doc_id, ids in zip(part_.column(0).to_pylist(), made.encode(texts), strict=True):
+                names.append(doc_id), counts.append(len(ids) + 1), held.append(ids.astype("<u4").tobytes() + end)
+                total += counts[-1]
+                if total >= file_ids:
+                    flush()
         if names:
             flush()
         if out:
