@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
 from .common import delete, fresh, slices, small_batches, stored
-from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bitmap, bits_of, combine, compatible, ends, frequency_classes, reachable, shared_shingles, verify
+from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bitmap, bits_of, combine, compatible, frequency_classes, reachable, shared_shingles, verify
 
 
 #: A token is a hash of so many bits, in a 64-bit number's upper end.
@@ -88,17 +88,28 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << sketch_bits, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            cells = (np.concatenate(waiting) >> U(64 - sketch_bits)).astype(np.int64)
+            np.add(sketch, np.bincount(cells, minlength=len(sketch)).astype(np.uint32), out=sketch)
+            waiting.clear()
+
         for part in slices(batches):
             texts, doc_ids, ties = (c.to_pylist() for c in part.columns)
             text, number, first, counts, s = line_shingles(texts, width)
             if not len(first):
                 continue
-            sketch += np.bincount((s >> U(64 - sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+            waiting.append(s)
+            if sum(map(len, waiting)) > 1 << 20:
+                count()
             ids = pa.array(doc_ids, pa.int64()).take(pa.array(text))
             k = len(first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(k, np.int32)), ids, pa.array(ties, pa.int64()).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(counts), pa.array(line_signatures(first, counts, s)), pa.nulls(k, pa.binary())], schema=schema
             )
+        if waiting:
+            count()
         size = 1 << min(CHUNK_BITS, sketch_bits)
         parts = [sketch[c * size : (c + 1) * size] for c in range(len(sketch) // size)]
         rows = [(1, None, None, None, c, None, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(parts) if p.any()]
@@ -123,7 +134,9 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
             c = classes[(s >> U(shift)).astype(np.int64)]
             line = np.repeat(np.arange(len(first)), counts)
             if c.any():  # lines with a frequent token: by class, then hash
-                some = np.flatnonzero(np.isin(line, line[c > 0]))
+                frequent = np.zeros(len(first), bool)
+                frequent[line[c > 0]] = True
+                some = np.flatnonzero(frequent[line])
                 order = some[np.lexsort((s[some], c[some], line[some]))]
                 s[some], c[some] = s[order], c[order]
             place = np.arange(len(s)) - np.repeat(first, counts)
@@ -192,16 +205,14 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     key = lists.join(leaders, "token").where(f"l.at < at AND {compatible('n', 'l.n', percent)} AND {reachable('n', 'place', 'l.n', 'l.place', percent)}")
     star = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k")).select(F.col("sig").alias("a"), F.col("k.leader").alias("b"))
     star, star_path = stored(star, "star")
-    sets, sets_path = fetch_lines(docs, ends(star).join(sigs, "sig"), width)
+    sets, sets_path = fetch_lines(docs, lists.select("sig").distinct().join(sigs, "sig"), width)
     late, late_path = stored(verify(star, sets, percent).select(F.col("a").alias("sig")), "late")
-    delete(spark, sets_path)
 
     # every earlier set for those still open
     q = lists.join(late, "sig", "left_anti").select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("at").alias("ata"))
     m = lists.select(F.col("token").alias("t"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("atb"))
     near = q.join(m, (q["token"] == m["t"]) & F.expr(f"atb < ata AND {compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
     pairs, pairs_path = stored(near.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    sets, sets_path = fetch_lines(docs, ends(pairs).join(sigs, "sig"), width)
     more = verify(pairs, sets, percent).select(F.col("a").alias("sig"))
     late = late.unionByName(more).distinct().withColumn("late", F.lit(True))
 
