@@ -15,7 +15,7 @@ Everything is built-in expressions and joins; no text is shuffled. The filter's
 bounded by ``max_bits``; a benchmark beyond that makes it pass more documents on, not fewer.
 
 Null and empty texts have no shingles and are neither found nor find. Repeated rows of documents are each reported,
-items of the same text are reported each under its id. Other columns are not looked at. An empty benchmark or an
+items of the same text or id are reported each for itself, items without an id as null. Other columns are not looked at. An empty benchmark or an
 empty corpus gives no rows.
 """
 
@@ -41,10 +41,10 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
 
 
 def sketches(items: DataFrame, percent: int, width: int) -> DataFrame:
-    """(item_id, shingles, n, partition, sketch, needed) of items (item_id, text)."""
+    """(item, item_id, shingles, n, partition, sketch, needed) of items (item_id, text); item tells rows apart."""
     n, u = F.col("n"), F.expr("shiftleft(2, partition) - 1")
     need = lambda x: F.floor((x * percent + 99) / 100)
-    sized = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), width))).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
+    sized = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), width))).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
     sized = sized.withColumn("partition", F.floor(F.log2("n") + 1e-9).cast("int"))
     k = F.least(n, u - need(u) + 1).cast("int")
     return sized.withColumn("sketch", F.slice("shingles", F.lit(1), k)).withColumn("needed", F.size("sketch") - (n - need(n)))
@@ -71,15 +71,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width:
     """doc_id, text_hash (xxhash64, to tell rows of one doc_id apart), item_id, n_item, n_common, containment of every
     document (doc_id, text) and every item (item_id, text) found in it."""
     items, items_path = stored(sketches(benchmark, percent, width), "items")
-    values = items.select("item_id", "n", "needed", F.explode("sketch").alias("key"))
+    values = items.select("item", "n", "needed", F.explode("sketch").alias("key"))
     level = bloom(values.select("key").distinct(), max_bits)
     hashes = shingle_hashes(F.col("text"), width)
     seen = docs.select("doc_id", "text").where(F.exists(hashes, lambda x: level.holds(x, 0)) if level else F.lit(False))
     held, held_path = stored(seen.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.array_distinct(hashes).alias("h")), "held")
     places = held.select("_row", F.size("h").alias("n_doc"), F.explode("h").alias("key"))
     met = places.join(values, "key").where(f"100 * n_doc >= {percent} * n")  # as many shingles as the item must have
-    candidates = met.groupBy("_row", "item_id").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("_row", "item_id")
-    both = candidates.join(held, "_row").join(items.select("item_id", "shingles", F.col("n").alias("n_item")), "item_id")
+    candidates = met.groupBy("_row", "item").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("_row", "item")
+    both = candidates.join(held, "_row").join(items.select("item", "item_id", "shingles", F.col("n").alias("n_item")), "item")
     common = F.size(F.array_intersect("h", "shingles")).cast("long")
     found = both.select("doc_id", "text_hash", "item_id", F.col("n_item").cast("long").alias("n_item"), common.alias("n_common")).where(f"100 * n_common >= {percent} * n_item")
     out, _ = stored(found.withColumn("containment", F.col("n_common") / F.col("n_item")), "leaks")
