@@ -1,0 +1,14 @@
+"""Streams of files. Parsers look at one file at a time, so they work on streams without state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..parsers import parse_files
+from ..schemas import DistillOptions
+
+
+def parse_stream(files: DataFrame, options: DistillOptions | None = None) -> DataFrame:
+    """One row a symbol of each arriving file (file, content)."""
+    return parse_files(files, options).select("file", F.inline("exports"))
