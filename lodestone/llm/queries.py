@@ -148,6 +148,44 @@ def _leak_sql(percent: int = 80) -> str:
         FROM common JOIN sizes ON bk = k WHERE 100 * n_common >= {percent} * n_item"""
 
 
+def _word_sql(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x20\x09-\x0D]+')"
+
+
+SHINGLE_SQL = "list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
+
+def _line_sql(percent: int = 80) -> str:
+    return f"""
+        WITH lines AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+        words AS (SELECT doc_id, t, line, {_word_sql("t")} AS w FROM lines),
+        keyed AS (SELECT doc_id, t, line, w, array_to_string(w, ' ') AS k FROM words),
+        sets AS (SELECT k, min({{'d': doc_id, 'l': line}}) AS first, any_value(w) AS w FROM keyed WHERE len(w) >= 5 GROUP BY k),
+        tokens AS (SELECT k, unnest({SHINGLE_SQL}) AS s FROM sets),
+        sizes AS (SELECT k, count(*) AS n FROM tokens GROUP BY k),
+        common AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM tokens a JOIN tokens b USING (s) GROUP BY ALL),
+        earliest AS (
+            SELECT a AS k, min(first) AS first FROM common JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b JOIN sets ON sets.k = b
+            WHERE 100 * c >= {percent} * (x.n + y.n - c) GROUP BY a
+        ),
+        judged AS (SELECT doc_id, line, t, coalesce(first < {{'d': doc_id, 'l': line}}, false) AS gone FROM keyed LEFT JOIN earliest USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text
+        FROM judged GROUP BY doc_id"""
+
+
+def _jaccard_sql(percent: int = 80) -> str:
+    return f"""
+        WITH RECURSIVE words AS (SELECT doc_id, {_word_sql("coalesce(text, '')")} AS w FROM documents),
+        tokens AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN {SHINGLE_SQL} WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(b)) AS component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -163,6 +201,8 @@ QUERIES = {
 
 SQL = {
     "op1_decontamination": _leak_sql(),
+    "op4_line_dedup": _line_sql(),
     "op6_license_scan": _license_sql(),
+    "op9_jaccard_join": _jaccard_sql(),
     "op10_url_filter": _url_sql(),
 }
