@@ -174,34 +174,42 @@ def first_of_documents(classes: np.ndarray, width: int, percent: int) -> Callabl
             if len(known) < 1_000_000:
                 known.add(sig)  # copies within a task; all others meet in their buckets
             t, c = first_shingles(s, classes, shift, percent)
-            yield t, np.full(len(t), sig, np.int64), np.arange(len(t), dtype=np.int32), c
+            yield t, np.full(len(t), sig, np.int64), np.arange(len(t), dtype=np.int32), np.full(len(t), len(s), np.int32), c
 
     return firsts
 
 
-def shared_shingles(docs: DataFrame, classes: np.ndarray, firsts: Callable, partitions: int, hot_class: int = 17) -> tuple[DataFrame, str]:
-    """(token, sig, place) for the first shingles of every set that another set's first shingles have, too.
+def may_link(n: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set of n shingles, with one at place p, could link at that shingle with any set that has lo to hi
+    shingles and this one at place ``first`` or later: length and positional filter against a whole list."""
+    left = np.minimum(n - p, hi - first)
+    return (100 * n >= percent * lo) & (100 * hi >= percent * n) & (left * (100 * (100 + percent)) >= percent * (100 * n + np.maximum(100 * lo, percent * n)))
 
-    ``firsts`` turns record batches of docs into arrays (shingle, signature, place, class). A bucket's shingles are
+
+def shared_shingles(docs: DataFrame, classes: np.ndarray, firsts: Callable, partitions: int, percent: int, hot_class: int = 17) -> tuple[DataFrame, str]:
+    """(token, sig, place, n) for the first shingles of every set that another set's first shingles have, too, and at
+    which the two might link by their sizes and places.
+
+    ``firsts`` turns record batches of docs into arrays (shingle, signature, place, size, class). A bucket's shingles are
     sorted in one task; those of a class from ``hot_class`` (counts over 2**16) are spread by signature and kept
     without a test, so no task gathers all sets of a hot shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     shift = 64 - (len(classes) - 1).bit_length()
     buckets = 8 * partitions
-    packed = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("sigs", pa.binary()), ("places", pa.binary())])
+    packed = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("sigs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            t, g, p, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            t, g, p, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
             key = scramble(np.where(c >= hot_class, t ^ scramble(g.view(U)), t))
             b = (key % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            t, g, p, b = t[order], g[order], p[order], b[order]
+            t, g, p, n, b = t[order], g[order], p[order], n[order], b[order]
             cuts = np.flatnonzero(np.diff(b)) + 1
-            rows = [(int(b[i]), t[i:j].tobytes(), g[i:j].tobytes(), p[i:j].tobytes()) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True)]
+            rows = [(int(b[i]), t[i:j].tobytes(), g[i:j].tobytes(), p[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True)]
             return _batch(rows, packed)
 
         for arrays in firsts(batches):
@@ -215,30 +223,36 @@ def shared_shingles(docs: DataFrame, classes: np.ndarray, firsts: Callable, part
         if held:
             yield flush()
 
-    found = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("place", pa.int32())])
+    found = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("place", pa.int32()), ("n", pa.int64())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list] = [[], [], []]
+        parts: list[list] = [[], [], [], []]
         for batch in batches:
-            for k, kind in enumerate((U, np.int64, np.int32)):
+            for k, kind in enumerate((U, np.int64, np.int32, np.int32)):
                 parts[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
         if not parts[0]:
             return
-        t, g, p = (np.concatenate(x) for x in parts)
+        t, g, p, n = (np.concatenate(x) for x in parts)
         parts.clear()
         order = np.lexsort((g, t))
-        t, g, p = t[order], g[order], p[order]
+        t, g, p, n = t[order], g[order], p[order].astype(np.int64), n[order].astype(np.int64)
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])  # equal sets of other tasks
-        t, g, p = t[new], g[new], p[new]
-        same = t[1:] == t[:-1]
-        shared_by = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        shared_by |= shared.value[(t >> U(shift)).astype(np.int64)] >= hot_class
-        t, g, p = t[shared_by].view(np.int64), g[shared_by], p[shared_by]
+        t, g, p, n = t[new], g[new], p[new], n[new]
+        for _ in range(2):  # once more, as lists may have lost entries
+            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.append(starts, len(t)))
+            each = lambda x: np.repeat(x, size)  # noqa: B023, E731
+            lo, hi, first = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts), np.minimum.reduceat(p, starts)
+            live = (each(size) > 1) & may_link(n, p, each(lo), each(hi), each(first), percent)
+            live |= shared.value[(t >> U(shift)).astype(np.int64)] >= hot_class
+            t, g, p, n = t[live], g[live], p[live], n[live]
+            if not len(t):
+                return
         for i in range(0, len(t), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (t, g, p)], schema=found)
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (t.view(np.int64), g, p.astype(np.int32), n)], schema=found)
 
-    blobs = docs.mapInArrow(pack, "bucket int, tokens binary, sigs binary, places binary")
-    rows = blobs.repartition(partitions, "bucket").mapInArrow(keep, "token long, sig long, place int")
+    blobs = docs.mapInArrow(pack, "bucket int, tokens binary, sigs binary, places binary, sizes binary")
+    rows = blobs.repartition(partitions, "bucket").mapInArrow(keep, "token long, sig long, place int, n long")
     return stored(rows, "shared")
 
 
@@ -349,9 +363,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent), partitions)
+    lists, lists_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent), partitions, percent)
     sigs, sigs_path = stored(rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "signatures")
-    lists, lists_path = stored(shared.join(sigs.select("sig", "n"), "sig"), "lists")
 
     # groups: one test against a leader for each set
     leaders = lists.groupBy("token").agg(F.min(F.struct("place", "sig", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
@@ -392,7 +405,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     final, _ = stored(labelled.join(smallest, "root").select(F.col("sig").alias("_sig"), "component_id"), "components")
     out = rows.join(final, (rows["sig"] == final["_sig"]) & (rows["n"] > 0), "left")
-    for path in (shared_path, sigs_path, lists_path, star_path, links_path, groups_path, entries_path, opened_path, pairs_path, more_path, roots_path):
+    for path in (sigs_path, lists_path, star_path, links_path, groups_path, entries_path, opened_path, pairs_path, more_path, roots_path):
         delete(spark, path)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -137,12 +137,14 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
                 frequent = np.zeros(len(first), bool)
                 frequent[line[c > 0]] = True
                 some = np.flatnonzero(frequent[line])
-                order = some[np.lexsort((s[some], c[some], line[some]))]
+                order = some[np.argsort(line[some] << 8 | c[some], kind="stable")]  # by hash within a class already
                 s[some], c[some] = s[order], c[order]
             place = np.arange(len(s)) - np.repeat(first, counts)
             p = np.minimum(counts, counts + (percent * counts // -100) + 1)
             keep = (place < np.repeat(p, counts)) & np.repeat(take, counts)
-            yield s[keep], np.repeat(sigs, counts)[keep], place[keep].astype(np.int32), c[keep]
+            keep = np.flatnonzero(keep)
+            at = line[keep]
+            yield s[keep], sigs[at], place[keep].astype(np.int32), counts[at].astype(np.int32), c[keep]
 
     return firsts
 
@@ -196,9 +198,9 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     total = lines.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent), partitions)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent), partitions, percent)
     sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "signatures")
-    lists, lists_path = stored(shared.join(sigs.select("sig", "n", "at"), "sig"), "lists")
+    lists, lists_path = stored(shared.join(sigs.select("sig", "at"), "sig"), "lists")
 
     # one witness for each set: the earliest set of its most shared token
     leaders = lists.groupBy("token").agg(F.min(F.struct("at", "sig", "n", "place")).alias("l"), F.count("*").alias("size")).where("size > 1")
