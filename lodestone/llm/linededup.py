@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
 from .common import delete, fresh, slices, small_batches, stored
-from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bitmap, bits_of, combine, compatible, frequency_classes, reachable, shared_shingles, verify
+from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bits_of, combine, compatible, frequency_classes, reachable, shared_shingles
 
 
 #: A token is a hash of so many bits, in a 64-bit number's upper end.
@@ -150,35 +150,36 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 23) -> tuple[DataFrame, str]:
-    """(sig, n, tokens, map) of the wanted (sig, doc_id). Documents are told by a bitmap of doc_ids, lines by another
-    of signatures, and what the bitmaps let through besides by a semi join."""
+    """(sig, tokens) of the wanted (sig, doc_id). Documents are told by a bitmap of doc_ids, lines by one of signature
+    and doc_id together. The few lines that the bitmaps let through besides do no harm, nor does one given twice."""
     context = docs.sparkSession.sparkContext
-    doc_marks, sig_marks = context.broadcast(bits_of(wanted, "doc_id", bits)), context.broadcast(_sig_marks(wanted, bits))
+    doc_marks, line_marks = context.broadcast(bits_of(wanted, "doc_id", bits)), context.broadcast(_line_marks(wanted, bits))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("map", pa.binary())])
+    schema = pa.schema([("sig", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(1).to_numpy(zero_copy_only=False)
+            p = batch.column(2).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((doc_marks.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
             for part in slices([batch.take(pa.array(hit))]):
-                _, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width)
+                text, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width)
+                if not len(first):
+                    continue
                 sigs = line_signatures(first, counts, s)
-                at = (sigs.view(U) % U(bits)).astype(np.int64)
-                out = []
-                for k in np.flatnonzero((sig_marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).tolist():
-                    x = s[first[k] : first[k] + counts[k]]
-                    out.append((int(sigs[k]), len(x), x.tobytes(), bitmap(x).tobytes()))
-                if out:
-                    yield _batch(out, schema)
+                at = (sigs ^ np.array(part.column(1))[text]) & (bits - 1)
+                mine = ((line_marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                if mine.any():
+                    offsets = np.concatenate([[0], 8 * np.cumsum(counts[mine])]).astype(np.int32)
+                    tokens = pa.Array.from_buffers(pa.binary(), int(mine.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(s[np.repeat(mine, counts)])])
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs[mine]), tokens], schema=schema)
 
-    made = docs.select("text", hashed.alias("p")).mapInArrow(run, "sig long, n long, tokens binary, map binary")
-    return stored(made.join(wanted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "tokens")
+    known = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")
+    return stored(docs.select("text", known, hashed.alias("p")).mapInArrow(run, "sig long, tokens binary"), "tokens")
 
 
-def _sig_marks(wanted: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the signatures, as unsigned numbers modulo bits (a power of two); at most bits / 64 rows come to the driver."""
-    p = F.col("sig").bitwiseAND(F.lit(bits - 1))
+def _line_marks(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of signature xor doc_id, modulo bits (a power of two); at most bits / 64 rows come to the driver."""
+    p = F.col("sig").bitwiseXOR(F.coalesce("doc_id", F.lit(0).cast("long"))).bitwiseAND(F.lit(bits - 1))
     rows = wanted.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).collect()
     words = np.zeros(bits // 64, np.int64)
     for w, b in rows:
@@ -186,6 +187,31 @@ def _sig_marks(wanted: DataFrame, bits: int) -> np.ndarray:
     return words.view(np.uint8)
 
 
+def overlaps(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of token sets: both sizes and how many tokens they share. A pair's number and a token are one integer,
+    so a single sort puts what is shared side by side."""
+    na, nb = (np.array([len(x) // 8 for x in side], np.int64) for side in (a, b))
+    tokens = np.frombuffer(b"".join([*a, *b]), U) >> U(64 - TOKEN_BITS)
+    pair = np.repeat(np.concatenate([np.arange(len(a)), np.arange(len(b))]), np.concatenate([na, nb]))
+    key = np.sort(pair.astype(U) << U(TOKEN_BITS) | tokens)
+    twice = key[1:][key[1:] == key[:-1]]
+    return na, nb, np.bincount((twice >> U(TOKEN_BITS)).astype(np.int64), minlength=len(a))
+
+
+def matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets reach the similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], 2):
+                na, nb, common = overlaps(part.column(2).to_pylist(), part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays(part.columns[:2], schema=schema).filter(pa.array(100 * common >= percent * (na + nb - common)))
+
+    left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> tuple[DataFrame, str]:
     """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
     spark = docs.sparkSession
@@ -208,14 +234,14 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     star = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k")).select(F.col("sig").alias("a"), F.col("k.leader").alias("b"))
     star, star_path = stored(star, "star")
     sets, sets_path = fetch_lines(docs, lists.select("sig").distinct().join(sigs, "sig"), width)
-    late, late_path = stored(verify(star, sets, percent).select(F.col("a").alias("sig")), "late")
+    late, late_path = stored(matching(star, sets, percent).select(F.col("a").alias("sig")), "late")
 
     # every earlier set for those still open
     q = lists.join(late, "sig", "left_anti").select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("at").alias("ata"))
     m = lists.select(F.col("token").alias("t"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("atb"))
     near = q.join(m, (q["token"] == m["t"]) & F.expr(f"atb < ata AND {compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
     pairs, pairs_path = stored(near.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    more = verify(pairs, sets, percent).select(F.col("a").alias("sig"))
+    more = matching(pairs, sets, percent).select(F.col("a").alias("sig"))
     late = late.unionByName(more).distinct().withColumn("late", F.lit(True))
 
     # a line goes if its set has an earlier line or an earlier match
