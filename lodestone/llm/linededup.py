@@ -246,10 +246,11 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
 
     # a line goes if its set has an earlier line or an earlier match
     verdict = sigs.join(late, "sig", "left").where("late OR copies > 1").select("sig", F.col("at").alias("kept"), F.coalesce("late", F.lit(False)).alias("late"))
+    verdict, verdict_path = stored(verdict, "verdict")  # so that a line which very many documents have is a skewed join, which Spark splits
     gone = lines.join(verdict, "sig").where("late OR at <> kept")
     out = gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     kept = stored(out, "removed")
-    for path in (measured_path, shared_path, sigs_path, lists_path, star_path, late_path, pairs_path, sets_path):
+    for path in (measured_path, shared_path, sigs_path, lists_path, star_path, late_path, pairs_path, sets_path, verdict_path):
         delete(spark, path)
     return kept
 
