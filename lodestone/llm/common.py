@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,6 +82,13 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver
+    collects its garbage; a driver with much memory does so too late for the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, all else untouched (lower() also changes other alphabets)."""
     return F.translate(col, UPPER, UPPER.lower())

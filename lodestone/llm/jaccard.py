@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
-from .common import delete, fresh, small_batches, stored
+from .common import delete, fresh, release, small_batches, stored
 from .components import components
 
 M64 = (1 << 64) - 1
@@ -364,6 +364,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
     lists, lists_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent), partitions, percent)
+    release(spark)
     sigs, sigs_path = stored(rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "signatures")
 
     # groups: one test against a leader for each set
@@ -376,6 +377,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     sets, sets_path = fetch_sets(docs, wanted, width)
     links, links_path = stored(verify(star, sets, percent), "links")
     delete(spark, sets_path)
+    release(spark)
     groups, groups_path = components(links)
 
     # the token-group matrix, and the groups that queries open
@@ -399,6 +401,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     sets, sets_path = fetch_sets(docs, wanted, width)
     more, more_path = stored(verify(pairs, sets, percent), "links")
     delete(spark, sets_path)
+    release(spark)
     roots, roots_path = components(links.unionByName(more))
 
     labelled = sigs.join(roots, sigs["sig"] == roots["node"], "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("root"))

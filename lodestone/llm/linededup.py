@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import scramble, span_hashes
-from .common import delete, fresh, slices, small_batches, stored
+from .common import delete, fresh, release, slices, small_batches, stored
 from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bits_of, combine, compatible, frequency_classes, reachable, shared_shingles
 
 
@@ -225,6 +225,7 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
     shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent), partitions, percent)
+    release(spark)
     sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "signatures")
     lists, lists_path = stored(shared.join(sigs.select("sig", "at"), "sig"), "lists")
 
@@ -246,6 +247,7 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
 
     # a line goes if its set has an earlier line or an earlier match
     verdict = sigs.join(late, "sig", "left").where("late OR copies > 1").select("sig", F.col("at").alias("kept"), F.coalesce("late", F.lit(False)).alias("late"))
+    release(spark)
     verdict, verdict_path = stored(verdict, "verdict")  # so that a line which very many documents have is a skewed join, which Spark splits
     gone = lines.join(verdict, "sig").where("late OR at <> kept")
     out = gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("lines"))
