@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,17 +20,21 @@ SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-#: Rows that Spark puts into one Arrow batch of texts; bounds the batch's memory outside the heap.
+#: Rows and bytes that Spark puts into one Arrow batch of texts; bound the batch's memory outside the heap.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 #: Bytes of text that operators in Python work on at a time, but at least one text.
 SLICE_BYTES = 1 << 19
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are large rows: keeps the session's Arrow batches at BATCH_ROWS rows or what it has set lower."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Texts are large rows: bounds the session's Arrow batches by BATCH_ROWS rows and BATCH_BYTES bytes, unless it has
+    lower bounds already."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.sub(r"\D", "", spark.conf.get(key, "")) or "0"
+        if not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
