@@ -32,7 +32,7 @@ def small_batches(spark: SparkSession) -> None:
     lower bounds already."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = re.sub(r"\D", "", spark.conf.get(key, "")) or "0"
+        now = re.sub(r"\D", "", spark.conf.get(key)) or "0"
         if not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
