@@ -1,7 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block if the block has at least ``threshold`` of the template's distinct
-words. Template words are ordered by how many documents of the corpus have them, rarest first, ties by name. A
+A block is a line, or a window of as many successive words of the text as the template has (counted with repeats),
+whatever lines they stand in, so that a wrapped notice is found. A template is found in a block if the block has at
+least ``threshold`` of the template's distinct words. Windows are looked at only around the places of a template's
+first n - need + 1 words, as below. Template words are ordered by how many documents of the corpus have them, rarest first, ties by name. A
 block and a template of n words that share at least need = ceil(threshold * n) words must, by that order,
 
 * have need words each that are in any template (length filter),
@@ -53,6 +55,11 @@ def template_words(text: str) -> list[str]:
     return [w for w in dict.fromkeys("".join(c.lower() if c.isascii() else c for c in cut).split(" ")) if w]
 
 
+def template_length(text: str) -> int:
+    """The template's words, counted with repeats."""
+    return len("".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text).split())
+
+
 def whole(alternatives: list[str]) -> str:
     """A pattern for any of the alternatives as whole words, A-Z in either case."""
     return f"(?i)(?<!{WORD})(?:{'|'.join(alternatives)})(?!{WORD})"
@@ -109,10 +116,33 @@ def template_hits(line: Column, order: list[str], templates: dict[str, str], thr
     return F.flatten(F.transform(F.array(held), hits))
 
 
+def window_hits(body: Column, order: list[str], templates: dict[str, str], threshold: float) -> Column:
+    """array<struct<label, score>> of the templates found in windows of the text's words."""
+    rank = {w: i for i, w in enumerate(order)}
+
+    def hit(w: Column, label: str, text: str) -> Column:
+        t, n = sorted(template_words(text), key=rank.get), template_length(text)
+        need = math.ceil(threshold * len(t) - 1e-9)
+        prefix = strings(t[: len(t) - need + 1])
+        overlap = lambda b: F.size(F.array_intersect(strings(t), b))
+        places = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(prefix, x), i)), lambda i: i.isNotNull())
+        # all that is in any window with the place
+        around = F.transform(places, lambda i: F.slice(w, F.greatest(i - n + 2, F.lit(1)), F.least(i, F.lit(n - 1)) + n))
+        near = F.filter(around, lambda b: overlap(b) >= need)
+        windows = lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.size(b) - n + 1, F.lit(1))), lambda k: F.slice(b, k, n))
+        most = F.array_max(F.transform(near, lambda b: F.array_max(F.transform(windows(b), overlap))))
+        return F.when(most >= need, F.struct(F.lit(label).alias("label"), (most / F.lit(float(len(t)))).alias("score")))
+
+    def hits(w: Column) -> Column:
+        return F.filter(F.array(*[hit(w, label, text) for label, text in templates.items()]), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(F.array(words(ascii_lower(body))), hits))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, name: str = "license") -> DataFrame:
     """docs' columns and a struct: n_words, n_base (places of phrases), first_word, last_word (their smallest and
     largest start, else null), base_labels, labels (with the templates' too; both distinct, sorted, comma-joined),
-    score (the best share of a found template's words in a line, 0 to 1)."""
+    score (the best share of a found template's words in a line or window, 0 to 1)."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     order = word_order(docs, templates)
     rank = {w: i for i, w in enumerate(order)}
@@ -127,7 +157,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     places = F.when(body.rlike(any_phrase), F.transform(F.array(words(ascii_lower(body))), lambda w: F.array(*[phrase_starts(w, [p]) for p in phrases]))[0])
     none = F.array().cast("array<struct<label:string,score:double>>")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(any_prefix))
-    found = F.when(body.rlike(any_prefix), F.flatten(F.transform(lines, lambda x: template_hits(x, order, templates, threshold)))).otherwise(none)
+    in_lines = F.flatten(F.transform(lines, lambda x: template_hits(x, order, templates, threshold)))
+    found = F.when(body.rlike(any_prefix), F.concat(in_lines, window_hits(body, order, templates, threshold))).otherwise(none)
 
     def result(v: Column) -> Column:
         starts = F.flatten(v["places"])
