@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct ``width``-word shingles (words between white space, A-Z lower-cased). Lines with
-fewer words have none and always stay. A line is removed if any line before it, in the order of (doc_id, text hash,
+A line's tokens are its distinct ``width``-word shingles (words between white space, A-Z lower-cased). With ``short`` a
+line of fewer words has one token, all its words in a row; without, it has none and always stays. Lines without words
+always stay. A line is removed if any line before it, in the order of (doc_id, text hash,
 line number), has a Jaccard similarity of at least ``percent`` / 100 to it. Whether that earlier line itself stays
 does not matter, so the result does not depend on an order of work.
 
@@ -38,7 +39,7 @@ from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bits_of, combi
 TOKEN_BITS = 44
 
 
-def line_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_shingles(texts: list[str | None], width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice of texts, for lines with any shingle: text number, line number, first shingle's place and count of
     distinct shingles; and the shingles, sorted within each line."""
     coded = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
@@ -49,12 +50,24 @@ def line_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
     space = IS_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    if len(starts) < width:
+    if len(starts) < (1 if short else width):
         return empty, empty, empty, empty, np.zeros(0, U)
     w = span_hashes(data, starts, ends)
     line = np.cumsum(data == 10)[starts]
-    whole = line[width - 1 :] == line[: len(line) - width + 1]
-    s, line = combine(w, width)[whole], line[: len(line) - width + 1][whole]
+    few = []
+    if short:
+        begins = np.flatnonzero(np.diff(line, prepend=-1))
+        n_words = np.diff(np.append(begins, len(line)))
+        few = [(combine_at(w, n, k), line[k]) for n in range(1, width) if len(k := begins[n_words == n])]
+    s, at = w[:0], line[:0]
+    if len(w) >= width:
+        whole = line[width - 1 :] == line[: len(line) - width + 1]
+        s, at = combine(w, width)[whole], line[: len(line) - width + 1][whole]
+    if few:
+        s, at = np.concatenate([s, *[x for x, _ in few]]), np.concatenate([at, *[x for _, x in few]])
+        by_line = np.argsort(at, kind="stable")
+        s, at = s[by_line], at[by_line]
+    line = at
     if not len(s):
         return empty, empty, empty, empty, s
     if line[-1] < 1 << (64 - TOKEN_BITS):
@@ -76,13 +89,19 @@ def line_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
     return text, at - bounds[text], first, counts, s
 
 
+def combine_at(w: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
+    """combine(w, n) at some places."""
+    words = w[places[:, None] + np.arange(n)].reshape(-1)
+    return combine(words, n)[::n]
+
+
 def line_signatures(first: np.ndarray, counts: np.ndarray, s: np.ndarray) -> np.ndarray:
     if not len(first):
         return np.zeros(0, np.int64)
     return scramble(np.add.reduceat(scramble(s + U(0x632BE59BD9B4E019)), first) + counts.astype(U) * U(0x9E3779B97F4A7C15 & M64)).view(np.int64)
 
 
-def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFrame, str]:
+def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = False) -> tuple[DataFrame, str]:
     """A table of kind 0: a line's (doc_id, tie, line, n, sig); kind 1: a part of a task's count sketch, n its number."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("counts", pa.binary())])
 
@@ -97,7 +116,7 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
 
         for part in slices(batches):
             texts, doc_ids, ties = (c.to_pylist() for c in part.columns)
-            text, number, first, counts, s = line_shingles(texts, width)
+            text, number, first, counts, s = line_shingles(texts, width, short)
             if not len(first):
                 continue
             waiting.append(s)
@@ -119,12 +138,12 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
     return stored(docs.mapInArrow(run, "kind int, doc_id long, tie long, line int, n long, sig long, counts binary"), "lines")
 
 
-def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
+def first_of_lines(classes: np.ndarray, width: int, percent: int, short: bool = False) -> Callable:
     shift = 64 - (len(classes) - 1).bit_length()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for part in slices(batches):
-            _, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width)
+            _, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width, short)
             if not len(first):
                 continue
             sigs = line_signatures(first, counts, s)
@@ -149,7 +168,7 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int) -> Callable:
     return firsts
 
 
-def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 23) -> tuple[DataFrame, str]:
+def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 23, short: bool = False) -> tuple[DataFrame, str]:
     """(sig, tokens) of the wanted (sig, doc_id). Documents are told by a bitmap of doc_ids, lines by one of signature
     and doc_id together. The few lines that the bitmaps let through besides do no harm, nor does one given twice."""
     context = docs.sparkSession.sparkContext
@@ -162,7 +181,7 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 <<
             p = batch.column(2).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((doc_marks.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
             for part in slices([batch.take(pa.array(hit))]):
-                text, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width)
+                text, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width, short)
                 if not len(first):
                     continue
                 sigs = line_signatures(first, counts, s)
@@ -212,19 +231,19 @@ def matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> tuple[DataFrame, str]:
+def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, short: bool = False) -> tuple[DataFrame, str]:
     """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tie"))
-    measured, measured_path = measure_lines(docs, width, sketch_bits)
+    measured, measured_path = measure_lines(docs, width, sketch_bits, short)
     # (doc_id, tie, line) as one number that hash aggregation can hold
     at = F.expr(f"cast(coalesce(doc_id, {-(1 << 63) + 1}) as decimal(19, 0)) * cast(1000000000000000000 as decimal(19, 0)) + cast(pmod(tie, 100000000) * 10000000000 + line as decimal(18, 0))")
     lines = measured.where("kind = 0").select("sig", "n", at.cast("decimal(38, 0)").alias("at"), "doc_id", "tie", "line")
     total = lines.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent), partitions, percent)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent, short), partitions, percent)
     release(spark)
     sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "signatures")
     lists, lists_path = stored(shared.join(sigs.select("sig", "at"), "sig"), "lists")
@@ -234,7 +253,7 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     key = lists.join(leaders, "token").where(f"l.at < at AND {compatible('n', 'l.n', percent)} AND {reachable('n', 'place', 'l.n', 'l.place', percent)}")
     star = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k")).select(F.col("sig").alias("a"), F.col("k.leader").alias("b"))
     star, star_path = stored(star, "star")
-    sets, sets_path = fetch_lines(docs, lists.select("sig").distinct().join(sigs, "sig"), width)
+    sets, sets_path = fetch_lines(docs, lists.select("sig").distinct().join(sigs, "sig"), width, short=short)
     late, late_path = stored(matching(star, sets, percent).select(F.col("a").alias("sig")), "late")
 
     # every earlier set for those still open
@@ -257,10 +276,10 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     return kept
 
 
-def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str | None = None, short: bool = False) -> DataFrame:
     """docs' columns in their order, text without its removed lines; with ``counts``, a struct of that name with
     n_lines and n_removed after them."""
-    removed, _ = removed_lines(docs, width, percent)
+    removed, _ = removed_lines(docs, width, percent, short=short)
     key, tie, gone, mine = (fresh(docs, c) for c in ("gone_id", "gone_tie", "gone_lines", "text_tie"))
     removed = removed.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("lines").alias(gone))
     lines = F.split("text", "\n")
