@@ -443,3 +443,15 @@ def q_distill_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is one text, so this report is over the first 50 files."""
     files = python_files(spark, sf_dir).where(F.regexp_extract("file", r"(\d+)", 1).cast("long") < 50)
     return distill.distill(files, DistillOptions())
+
+
+@query("""SELECT (doc_id // 100)::BIGINT AS package, string_agg('<file path="m' || doc_id || '.py">' || chr(10) || 'import ''os''' || chr(10) || 'import ''m' || doc_id || '''' || chr(10)
+        || 'export class C' || doc_id || ' {' || chr(10) || '    def run(y: int = 1) -> str' || chr(10) || '    async def go()' || chr(10) || '}' || chr(10)
+        || 'export def f' || doc_id || '(p, q=2) -> int' || chr(10) || 'export LIMIT_' || doc_id || ' = ' || doc_id || chr(10) || '</file>', chr(10) || chr(10) ORDER BY 'src/m' || doc_id || '.py') AS document
+    FROM documents GROUP BY ALL""")
+def q_distill_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files, a document for each hundred: one text for all would grow with the table."""
+    options = DistillOptions()
+    parsed = distill.parse(distill.pick(python_files(spark, sf_dir), options), options)
+    package = F.floor(F.regexp_extract("file", r"(\d+)", 1).cast("long") / 100).alias("package")
+    return render.distill_txt(parsed.select("*", package), options.private, options.docstrings, by=["package"])
