@@ -4,8 +4,8 @@ Every text node has a tag path, root to leaf, of tag names with their classes. P
 marks of all its text nodes are summed and divided by the number of nodes: article prose stands in few paths with
 long, punctuated nodes, menus in paths with many short ones. Both ratios are fused by their product, smoothed over
 neighbouring nodes by a Gaussian, and the nodes above the standard deviation's share ``threshold`` are content. The
-smallest element that holds nearly all content is the article; all its blocks are given, however short, but for those
-that are a part of something else by their markup: menus, headers and footers of the site, sidebars, notices, adverts,
+smallest element that holds nearly all content is the article; all its blocks are given, however short, and, if it is
+neither in nor itself an article or main element, the blocks of content outside it, such as a lead; but for those that are a part of something else by their markup: menus, headers and footers of the site, sidebars, notices, adverts,
 forms, comments and hidden elements.
 
 Null and empty pages give an empty text. Each row is worked on alone; columns other than the html are kept as they
@@ -189,12 +189,13 @@ def main_text(source: str | None, threshold: float = 0.5, share: float = 0.9) ->
     around = [a for a in page.ancestors(chosen) if page.name[a] in ("article", "main")]
     if around:
         chosen = around[-1]
+    beside = set() if around else {nodes[k][1] for k in content}
     inside: dict[int, bool] = {}
     blocks: dict[int, list[str]] = {}
     for e, b, t in plain:
         if e not in inside:
             inside[e] = chosen in page.ancestors(e)
-        if inside[e]:
+        if inside[e] or b in beside:
             blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
