@@ -42,27 +42,30 @@ from .components import components
 M64 = (1 << 64) - 1
 U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-PLACE_VALUE = np.random.default_rng(21).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
+#: Two hashes of words in a row have nothing in common but the words' own hashes.
+PLACE_VALUE, CHECK_VALUE = np.random.default_rng(21).integers(1, 1 << 63, (2, 64), dtype=np.uint64) * U(2) + U(1)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words between the white space U+0009 to U+000D and space."""
+    space = np.ones(len(data) + 2, bool)
+    np.less(data - np.uint8(9), 5, out=space[1:-1])
+    space[1:-1] |= data == 32
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[::2], edge[1::2]
 
 
 def word_hashes(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
-    if not len(data):
-        return np.zeros(0, U)
-    space = IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    return span_hashes(data, starts, ends)
+    return span_hashes(data, *word_spans(data))
 
 
-def combine(w: np.ndarray, n: int) -> np.ndarray:
+def combine(w: np.ndarray, n: int, values: np.ndarray = PLACE_VALUE) -> np.ndarray:
     """A hash of each n words in a row."""
     k = len(w) - n + 1
     s = np.full(k, n, U)
     for i in range(n):
-        s += w[i : k + i] * PLACE_VALUE[i]
+        s += w[i : k + i] * values[i]
     return scramble(s)
 
 
@@ -234,10 +237,18 @@ def shared_shingles(docs: DataFrame, classes: np.ndarray, firsts: Callable, part
             return
         t, g, p, n = (np.concatenate(x) for x in parts)
         parts.clear()
-        order = np.lexsort((g, t))
-        t, g, p, n = t[order], g[order], p[order].astype(np.int64), n[order].astype(np.int64)
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])  # equal sets of other tasks
-        t, g, p, n = t[new], g[new], p[new], n[new]
+        order = np.argsort(t)
+        t = t[order]
+        same = np.concatenate([[False], t[1:] == t[:-1], [False]])
+        often = same[1:] | same[:-1] | (shared.value[(t >> U(shift)).astype(np.int64)] >= hot_class)
+        t, order = t[often], order[often]  # most shingles are in one set alone
+        g, p, n = g[order], p[order].astype(np.int64), n[order].astype(np.int64)
+        order = np.lexsort((p, n, g, t))
+        t, g, p, n = t[order], g[order], p[order], n[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1]) | (p[1:] != p[:-1])])  # equal sets of other tasks
+        t, g, p, n = t[new[: len(t)]], g[new[: len(t)]], p[new[: len(t)]], n[new[: len(t)]]
+        if not len(t):
+            return
         for _ in range(2):  # once more, as lists may have lost entries
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             size = np.diff(np.append(starts, len(t)))
@@ -256,9 +267,15 @@ def shared_shingles(docs: DataFrame, classes: np.ndarray, firsts: Callable, part
     return stored(rows, "shared")
 
 
-def bits_of(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of hashed values, aggregated; at most bits / 64 rows come to the driver."""
-    p = F.pmod(F.xxhash64(column), F.lit(bits))
+def map_bits(n: int) -> int:
+    """The bits of a bitmap for n values, a power of two. Beyond 2**28 (32 MB) bitmaps stop growing, and spare less work."""
+    return 1 << min(28, max(16, (16 * n).bit_length()))
+
+
+def bits_of(values: DataFrame, column: str, bits: int, hashed: bool = False) -> np.ndarray:
+    """A bitmap of values, by a hash unless they are ``hashed`` already, aggregated; at most bits / 64 rows come to the
+    driver."""
+    p = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(bits))
     rows = values.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).collect()
     words = np.zeros(bits // 64, np.int64)
     for w, b in rows:

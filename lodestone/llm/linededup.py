@@ -15,95 +15,114 @@ does not matter, so the result does not depend on an order of work.
    one of them and passes the length and positional filters. Tests are exact Jaccard similarities.
 4. Removed lines are gathered by document and taken out of the texts.
 
+Tokens are 64-bit hashes of whole words. Sets are equal if 128 bits of two independent hashes of their shingles are; the
+first 64 (sig) go through the joins, and sets that agree in these alone get ids of their own. Positions are compared by
+(doc_id, text hash, line number) as they are.
+
 Null texts stay null, and texts without any removed line stay as they are, byte for byte. Rows of the same doc_id and
-text are one document, treated alike. Null doc_ids come first. Other columns pass through. An empty table gives an
-empty table.
+text are one document, treated alike, and one row among the sets. Null doc_ids come first (as the doc_id -2**63 does). Other
+columns pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import scramble, span_hashes
+from .bytehash import ODD, scramble, span_hashes
 from .common import delete, fresh, release, slices, small_batches, stored
-from .jaccard import CHUNK_BITS, IS_SPACE, LOWER, M64, U, _batch, bits_of, combine, compatible, frequency_classes, reachable, shared_shingles
+from .jaccard import CHECK_VALUE, CHUNK_BITS, LOWER, PLACE_VALUE, U, _batch, bits_of, combine, compatible, frequency_classes, map_bits, reachable, shared_shingles, word_spans
+
+
+#: A line's number in a slice and this many bits of a token make one integer to sort by.
+SORTED_BITS = 44
+
+
+class Lines(NamedTuple):
+    """The lines of a slice of texts that have any token."""
+
+    text: np.ndarray
+    line: np.ndarray
+    """Number of the text in the slice, and of the line in the text."""
+    first: np.ndarray
+    counts: np.ndarray
+    """Where the line's tokens begin and how many distinct ones it has."""
+    tokens: np.ndarray
+    """Sorted within each line."""
+    sig: np.ndarray
+    check: np.ndarray
+    """128 bits that tell the line's set of tokens: of two independent hashes of each shingle."""
 
 
-#: A token is a hash of so many bits, in a 64-bit number's upper end.
-TOKEN_BITS = 44
+NOTHING = Lines(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(2)))
 
 
-def line_shingles(texts: list[str | None], width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice of texts, for lines with any shingle: text number, line number, first shingle's place and count of
-    distinct shingles; and the shingles, sorted within each line."""
+def line_shingles(texts: list[str | None], width: int, short: bool = False, sig_bits: int = 64) -> Lines:
     coded = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
     data = np.frombuffer(b"\n".join(coded), np.uint8)
-    empty = np.zeros(0, np.int64)
-    if not len(data):
-        return empty, empty, empty, empty, np.zeros(0, U)
-    space = IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    starts, ends = word_spans(data)
     if len(starts) < (1 if short else width):
-        return empty, empty, empty, empty, np.zeros(0, U)
+        return NOTHING
     w = span_hashes(data, starts, ends)
-    line = np.cumsum(data == 10)[starts]
-    few = []
+    breaks = np.flatnonzero(data == 10)
+    line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1))[:-1]
+    s, c, at = w[:0], w[:0], line[:0]
+    if len(w) >= width:
+        whole = np.flatnonzero(line[width - 1 :] == line[: len(line) - width + 1])
+        s, c, at = combine(w, width)[whole], combine(w, width, CHECK_VALUE)[whole], line[whole]
     if short:
         begins = np.flatnonzero(np.diff(line, prepend=-1))
         n_words = np.diff(np.append(begins, len(line)))
-        few = [(combine_at(w, n, k), line[k]) for n in range(1, width) if len(k := begins[n_words == n])]
-    s, at = w[:0], line[:0]
-    if len(w) >= width:
-        whole = line[width - 1 :] == line[: len(line) - width + 1]
-        s, at = combine(w, width)[whole], line[: len(line) - width + 1][whole]
-    if few:
-        s, at = np.concatenate([s, *[x for x, _ in few]]), np.concatenate([at, *[x for _, x in few]])
-        by_line = np.argsort(at, kind="stable")
-        s, at = s[by_line], at[by_line]
-    line = at
+        few = [(combine_at(w, n, k, PLACE_VALUE), combine_at(w, n, k, CHECK_VALUE), line[k]) for n in range(1, width) if len(k := begins[n_words == n])]
+        s, c, at = (np.concatenate(x) for x in zip((s, c, at), *few, strict=True))
     if not len(s):
-        return empty, empty, empty, empty, s
-    if line[-1] < 1 << (64 - TOKEN_BITS):
-        # line number and token in one integer, which sorts several times faster than two keys
-        key = np.sort(line.astype(U) << U(TOKEN_BITS) | s >> U(64 - TOKEN_BITS))
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        s, line = key << U(64 - TOKEN_BITS), (key >> U(TOKEN_BITS)).astype(np.int64)
-    else:
-        s = s >> U(64 - TOKEN_BITS) << U(64 - TOKEN_BITS)
-        order = np.lexsort((s, line))
-        s, line = s[order], line[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (line[1:] != line[:-1])])
-        s, line = s[new], line[new]
+        return NOTHING
+    s, c, line = distinct(s, c, at)
     first = np.flatnonzero(np.diff(line, prepend=-1))
     counts = np.diff(np.append(first, len(s)))
     at = line[first]  # line number in the slice
-    bounds = np.cumsum([0, *[c.count(b"\n") + 1 for c in coded]])  # first line of each text
+    bounds = np.cumsum([0, *[x.count(b"\n") + 1 for x in coded]])  # first line of each text
     text = np.searchsorted(bounds, at, side="right") - 1
-    return text, at - bounds[text], first, counts, s
-
-
-def combine_at(w: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
+    size = counts.astype(U) * U(ODD)
+    sig, check = (scramble(np.add.reduceat(scramble(x ^ U(ODD)), first) + size).view(np.int64) for x in (s, c))
+    return Lines(text, at - bounds[text], first, counts, s, sig >> (64 - sig_bits), check)
+
+
+def distinct(s: np.ndarray, c: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By line, then token, each once; c goes with s."""
+    if int(line.max()) < 1 << (64 - SORTED_BITS):
+        # line number and the upper part of the token in one integer, which sorts several times faster than two keys
+        key = line.astype(U) << U(SORTED_BITS) | s >> U(64 - SORTED_BITS)
+        order = np.argsort(key)
+        t, key = s[order], key[order]
+        same = key[1:] == key[:-1]
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        new[1:] |= ~same
+        if not (same & new[1:]).any():
+            order = order[new]
+            return t[new], c[order], line[order]
+    order = np.lexsort((s, line))  # two tokens of a line agree in the upper part
+    t, at = s[order], line[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (at[1:] != at[:-1])])
+    return t[new], c[order][new], at[new]
+
+
+def combine_at(w: np.ndarray, n: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
     """combine(w, n) at some places."""
     words = w[places[:, None] + np.arange(n)].reshape(-1)
-    return combine(words, n)[::n]
-
+    return combine(words, n, values)[::n]
 
-def line_signatures(first: np.ndarray, counts: np.ndarray, s: np.ndarray) -> np.ndarray:
-    if not len(first):
-        return np.zeros(0, np.int64)
-    return scramble(np.add.reduceat(scramble(s + U(0x632BE59BD9B4E019)), first) + counts.astype(U) * U(0x9E3779B97F4A7C15 & M64)).view(np.int64)
 
-
-def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = False) -> tuple[DataFrame, str]:
-    """A table of kind 0: a line's (doc_id, tie, line, n, sig); kind 1: a part of a task's count sketch, n its number."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("counts", pa.binary())])
+def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
+    """A table of kind 0: a line's (doc_id, tie, line, n, sig, chk, again), again if an earlier line of the same text
+    has the same set; kind 1: a part of a task's count sketch, n its number."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("chk", pa.int64()), ("again", pa.bool_()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << sketch_bits, np.uint32)
@@ -115,41 +134,45 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = F
             waiting.clear()
 
         for part in slices(batches):
-            texts, doc_ids, ties = (c.to_pylist() for c in part.columns)
-            text, number, first, counts, s = line_shingles(texts, width, short)
-            if not len(first):
+            x = line_shingles(part.column(0).to_pylist(), width, short, sig_bits)
+            k = len(x.first)
+            if not k:
                 continue
-            waiting.append(s)
+            waiting.append(x.tokens)
             if sum(map(len, waiting)) > 1 << 20:
                 count()
-            ids = pa.array(doc_ids, pa.int64()).take(pa.array(text))
-            k = len(first)
+            order = np.lexsort((x.line, x.check, x.sig, x.text))
+            t, g, c = x.text[order], x.sig[order], x.check[order]
+            again = np.zeros(k, bool)
+            again[order[1:]] = (t[1:] == t[:-1]) & (g[1:] == g[:-1]) & (c[1:] == c[:-1])
+            at = pa.array(x.text)
+            ids, ties = part.column(1).take(at), part.column(2).take(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), ids, pa.array(ties, pa.int64()).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(counts), pa.array(line_signatures(first, counts, s)), pa.nulls(k, pa.binary())], schema=schema
+                [pa.array(np.zeros(k, np.int32)), ids, ties, *[pa.array(v.astype(np.int32)) for v in (x.line, x.counts)], pa.array(x.sig), pa.array(x.check), pa.array(again), pa.nulls(k, pa.binary())], schema=schema
             )
         if waiting:
             count()
         size = 1 << min(CHUNK_BITS, sketch_bits)
         parts = [sketch[c * size : (c + 1) * size] for c in range(len(sketch) // size)]
-        rows = [(1, None, None, None, c, None, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(parts) if p.any()]
+        rows = [(1, None, None, None, c, None, None, None, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(parts) if p.any()]
         if rows:
             yield _batch(rows, schema)
 
-    return stored(docs.mapInArrow(run, "kind int, doc_id long, tie long, line int, n long, sig long, counts binary"), "lines")
+    return stored(docs.mapInArrow(run, "kind int, doc_id long, tie long, line int, n int, sig long, chk long, again boolean, counts binary"), "lines")
 
 
-def first_of_lines(classes: np.ndarray, width: int, percent: int, short: bool = False) -> Callable:
+def first_of_lines(classes: np.ndarray, width: int, percent: int, short: bool = False, sig_bits: int = 64) -> Callable:
     shift = 64 - (len(classes) - 1).bit_length()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for part in slices(batches):
-            _, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width, short)
+            _, _, first, counts, s, sigs, check = line_shingles(part.column(0).to_pylist(), width, short, sig_bits)
             if not len(first):
                 continue
-            sigs = line_signatures(first, counts, s)
-            _, once = np.unique(sigs, return_index=True)
+            _, once, mine = np.unique(sigs, return_index=True, return_inverse=True)
             take = np.zeros(len(sigs), bool)
             take[once] = True
+            take |= check != check[once][mine]  # another set of the same signature
             c = classes[(s >> U(shift)).astype(np.int64)]
             line = np.repeat(np.arange(len(first)), counts)
             if c.any():  # lines with a frequent token: by class, then hash
@@ -168,57 +191,50 @@ def first_of_lines(classes: np.ndarray, width: int, percent: int, short: bool =
     return firsts
 
 
-def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 23, short: bool = False) -> tuple[DataFrame, str]:
-    """(sig, tokens) of the wanted (sig, doc_id). Documents are told by a bitmap of doc_ids, lines by one of signature
-    and doc_id together. The few lines that the bitmaps let through besides do no harm, nor does one given twice."""
-    context = docs.sparkSession.sparkContext
-    doc_marks, line_marks = context.broadcast(bits_of(wanted, "doc_id", bits)), context.broadcast(_line_marks(wanted, bits))
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    schema = pa.schema([("sig", pa.int64()), ("tokens", pa.binary())])
+def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
+    """(id, tokens) of the wanted (id, sig, chk, doc_id), one row each. Bitmaps of documents and of lines only spare work;
+    what they let through besides, or twice, goes by a join."""
+    context, bits = docs.sparkSession.sparkContext, map_bits(wanted.count())
+    doc_marks, line_marks = context.broadcast(bits_of(wanted, "doc_id", bits)), context.broadcast(bits_of(wanted, "sig", bits, hashed=True))
+    schema = pa.schema([("sig", pa.int64()), ("chk", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(2).to_numpy(zero_copy_only=False)
+            p = batch.column(1).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((doc_marks.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
             for part in slices([batch.take(pa.array(hit))]):
-                text, _, first, counts, s = line_shingles(part.column(0).to_pylist(), width, short)
-                if not len(first):
+                x = line_shingles(part.column(0).to_pylist(), width, short, sig_bits)
+                at = x.sig & (bits - 1)
+                mine = np.flatnonzero((line_marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                if not len(mine):
                     continue
-                sigs = line_signatures(first, counts, s)
-                at = (sigs ^ np.array(part.column(1))[text]) & (bits - 1)
-                mine = ((line_marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                if mine.any():
-                    offsets = np.concatenate([[0], 8 * np.cumsum(counts[mine])]).astype(np.int32)
-                    tokens = pa.Array.from_buffers(pa.binary(), int(mine.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(s[np.repeat(mine, counts)])])
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs[mine]), tokens], schema=schema)
-
-    known = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")
-    return stored(docs.select("text", known, hashed.alias("p")).mapInArrow(run, "sig long, tokens binary"), "tokens")
+                order = mine[np.lexsort((x.check[mine], x.sig[mine]))]
+                g, c = x.sig[order], x.check[order]
+                mine = np.zeros(len(x.first), bool)
+                mine[order[np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])]] = True
+                offsets = np.concatenate([[0], 8 * np.cumsum(x.counts[mine])]).astype(np.int32)
+                tokens = pa.Array.from_buffers(pa.binary(), int(mine.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(x.tokens[np.repeat(mine, x.counts)])])
+                yield pa.RecordBatch.from_arrays([pa.array(x.sig[mine]), pa.array(x.check[mine]), tokens], schema=schema)
 
-
-def _line_marks(wanted: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of signature xor doc_id, modulo bits (a power of two); at most bits / 64 rows come to the driver."""
-    p = F.col("sig").bitwiseXOR(F.coalesce("doc_id", F.lit(0).cast("long"))).bitwiseAND(F.lit(bits - 1))
-    rows = wanted.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).collect()
-    words = np.zeros(bits // 64, np.int64)
-    for w, b in rows:
-        words[w] = b
-    return words.view(np.uint8)
+    made = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p")).mapInArrow(run, "sig long, chk long, tokens binary")
+    made = made.join(wanted.select("id", "sig", "chk"), ["sig", "chk"]).dropDuplicates(["sig", "chk"])
+    return stored(made.select("id", "tokens"), "tokens")
 
 
 def overlaps(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs of token sets: both sizes and how many tokens they share. A pair's number and a token are one integer,
-    so a single sort puts what is shared side by side."""
+    """Of pairs of token sets: both sizes and how many tokens they share, which sorting puts side by side."""
     na, nb = (np.array([len(x) // 8 for x in side], np.int64) for side in (a, b))
-    tokens = np.frombuffer(b"".join([*a, *b]), U) >> U(64 - TOKEN_BITS)
+    tokens = np.frombuffer(b"".join([*a, *b]), U)
+    if not len(tokens):
+        return na, nb, np.zeros(len(a), np.int64)
     pair = np.repeat(np.concatenate([np.arange(len(a)), np.arange(len(b))]), np.concatenate([na, nb]))
-    key = np.sort(pair.astype(U) << U(TOKEN_BITS) | tokens)
-    twice = key[1:][key[1:] == key[:-1]]
-    return na, nb, np.bincount((twice >> U(TOKEN_BITS)).astype(np.int64), minlength=len(a))
+    alone = np.zeros(len(tokens), np.int64)
+    twice, _, left = distinct(tokens, alone, pair)
+    return na, nb, na + nb - np.bincount(left, minlength=len(a))
 
 
 def matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets reach the similarity."""
+    """The pairs (a, b) of ids whose sets reach the similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,51 +243,82 @@ def matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 na, nb, common = overlaps(part.column(2).to_pylist(), part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays(part.columns[:2], schema=schema).filter(pa.array(100 * common >= percent * (na + nb - common)))
 
-    left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, short: bool = False) -> tuple[DataFrame, str]:
-    """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
+#: A null doc_id comes first.
+NULL_ID = -(1 << 63)
+
+
+def before(a: str, b: str) -> str:
+    """Whether the position in the columns d, tie and line of prefix a is before that of prefix b."""
+    d, tie, line = ((f"{a}{x}", f"{b}{x}") for x in ("d", "tie", "line"))
+    return f"({d[0]} < {d[1]} OR ({d[0]} = {d[1]} AND ({tie[0]} < {tie[1]} OR ({tie[0]} = {tie[1]} AND {line[0]} < {line[1]}))))"
+
+
+def set_table(lines: DataFrame, *key: str) -> DataFrame:
+    """Of each set: size, number of lines with it (one for each text), and the position of the first."""
+    aggs = [F.min("n").alias("n"), F.count("*").alias("copies"), F.min("chk").alias("chk"), F.max("chk").alias("other")]
+    several = lines.groupBy("d").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a <> b")
+    if several.isEmpty():  # d alone tells the document
+        at = [F.min("d").alias("d"), F.min_by("tie", "d").alias("tie"), F.min_by("line", "d").alias("line")]
+        return lines.groupBy(*key).agg(*aggs, *at)
+    found = lines.groupBy(*key).agg(*aggs, F.min(F.struct("d", "tie", "line")).alias("at"))
+    return found.select(*key, "n", "copies", "chk", "other", "at.*")
+
+
+def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
+    """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored.
+    With fewer ``sig_bits`` more sets agree in their signatures, which changes nothing in the result (a test's handle)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tie"))
-    measured, measured_path = measure_lines(docs, width, sketch_bits, short)
-    # (doc_id, tie, line) as one number that hash aggregation can hold
-    at = F.expr(f"cast(coalesce(doc_id, {-(1 << 63) + 1}) as decimal(19, 0)) * cast(1000000000000000000 as decimal(19, 0)) + cast(pmod(tie, 100000000) * 10000000000 + line as decimal(18, 0))")
-    lines = measured.where("kind = 0").select("sig", "n", at.cast("decimal(38, 0)").alias("at"), "doc_id", "tie", "line")
+    measured, measured_path = measure_lines(docs, width, sketch_bits, short, sig_bits)
+    lines = measured.where("kind = 0").select("sig", "chk", "n", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "doc_id", "tie", "line", "again")
     total = lines.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent, short), partitions, percent)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent, short, sig_bits), partitions, percent)
     release(spark)
-    sigs, sigs_path = stored(lines.groupBy("sig").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "signatures")
-    lists, lists_path = stored(shared.join(sigs.select("sig", "at"), "sig"), "lists")
+    once = lines.where("NOT again")
+    sigs, sigs_path = stored(set_table(once, "sig").withColumn("id", F.col("sig")), "signatures")
+    clash = sigs.where("chk <> other").select("sig")
+    if not clash.isEmpty():  # different sets of one signature: ids of both hashes for these
+        told = once.join(clash, "sig", "left_semi")
+        told = set_table(told.withColumn("part", F.col("chk")), "sig", "part").drop("part").withColumn("id", F.xxhash64("sig", "chk"))
+        single, single_path = stored(sigs.where("chk = other").unionByName(told), "signatures")
+        delete(spark, sigs_path)
+        sigs, sigs_path = single, single_path
+    lists, lists_path = stored(shared.join(sigs.select("sig", "id", "d", "tie", "line"), "sig").drop("sig"), "lists")
 
     # one witness for each set: the earliest set of its most shared token
-    leaders = lists.groupBy("token").agg(F.min(F.struct("at", "sig", "n", "place")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    key = lists.join(leaders, "token").where(f"l.at < at AND {compatible('n', 'l.n', percent)} AND {reachable('n', 'place', 'l.n', 'l.place', percent)}")
-    star = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k")).select(F.col("sig").alias("a"), F.col("k.leader").alias("b"))
+    leader = [F.min_by(c, "d").alias(f"l_{c}") for c in ("id", "n", "place", "tie", "line")]
+    leaders = lists.groupBy("token").agg(F.min("d").alias("l_d"), *leader, F.count("*").alias("size")).where("size > 1")
+    key = lists.join(leaders, "token").where(f"{before('l_', '')} AND {compatible('n', 'l_n', percent)} AND {reachable('n', 'place', 'l_n', 'l_place', percent)}")
+    star = key.groupBy(F.col("id").alias("a")).agg(F.max_by("l_id", "size").alias("b"))
     star, star_path = stored(star, "star")
-    sets, sets_path = fetch_lines(docs, lists.select("sig").distinct().join(sigs, "sig"), width, short=short)
-    late, late_path = stored(matching(star, sets, percent).select(F.col("a").alias("sig")), "late")
+    wanted = lists.select("id").distinct().join(sigs.select("id", "sig", "chk", F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id")), "id")
+    wanted, wanted_path = stored(wanted, "wanted")
+    sets, sets_path = fetch_lines(docs, wanted, width, short, sig_bits)
+    late, late_path = stored(matching(star, sets, percent).select(F.col("a").alias("id")), "late")
 
     # every earlier set for those still open
-    q = lists.join(late, "sig", "left_anti").select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("at").alias("ata"))
-    m = lists.select(F.col("token").alias("t"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("atb"))
-    near = q.join(m, (q["token"] == m["t"]) & F.expr(f"atb < ata AND {compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
+    q = lists.join(late, "id", "left_anti").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(c).alias(f"a_{c}") for c in ("d", "tie", "line")])
+    m = lists.select(F.col("token").alias("t"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(c).alias(f"b_{c}") for c in ("d", "tie", "line")])
+    near = q.join(m, (q["token"] == m["t"]) & F.expr(f"{before('b_', 'a_')} AND {compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
     pairs, pairs_path = stored(near.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    more = matching(pairs, sets, percent).select(F.col("a").alias("sig"))
+    more = matching(pairs, sets, percent).select(F.col("a").alias("id"))
     late = late.unionByName(more).distinct().withColumn("late", F.lit(True))
 
     # a line goes if its set has an earlier line or an earlier match
-    verdict = sigs.join(late, "sig", "left").where("late OR copies > 1").select("sig", F.col("at").alias("kept"), F.coalesce("late", F.lit(False)).alias("late"))
+    verdict = sigs.join(late, "id", "left").where("late OR copies > 1").select("sig", "chk", *[F.col(c).alias(f"f_{c}") for c in ("d", "tie", "line")], F.coalesce("late", F.lit(False)).alias("late"))
     release(spark)
     verdict, verdict_path = stored(verdict, "verdict")  # so that a line which very many documents have is a skewed join, which Spark splits
-    gone = lines.join(verdict, "sig").where("late OR at <> kept")
+    gone = once.join(verdict, ["sig", "chk"]).where(f"late OR {before('f_', '')}").select("doc_id", "tie", "line").unionByName(lines.where("again").select("doc_id", "tie", "line"))
     out = gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     kept = stored(out, "removed")
-    for path in (measured_path, shared_path, sigs_path, lists_path, star_path, late_path, pairs_path, sets_path, verdict_path):
+    for path in (measured_path, shared_path, sigs_path, lists_path, star_path, wanted_path, late_path, pairs_path, sets_path, verdict_path):
         delete(spark, path)
     return kept
 
@@ -283,8 +330,11 @@ def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str
     key, tie, gone, mine = (fresh(docs, c) for c in ("gone_id", "gone_tie", "gone_lines", "text_tie"))
     removed = removed.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("lines").alias(gone))
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    # the numbers that stay, by hash, so that a text of many lines is rebuilt in linear time
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = F.array_join(F.transform(F.array(F.struct(lines.alias("l"), stay.alias("s"))), lambda v: F.array_join(F.transform(v["s"], lambda i: F.get(v["l"], i)), "\n")), "")
     joined = docs.withColumn(mine, F.xxhash64("text")).join(removed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(tie)), "left")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")
-    more = [F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")).alias(counts)] if counts else []
+    more = [F.struct(F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")).alias(counts)] if counts else []
     return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns], *more)
