@@ -37,6 +37,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+class Spelling:
+    """The bytes that ids stand for, to compare what was found under a hash with what was looked up."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(x) for x in raw], np.int64)
+        self.offset = np.cumsum(self.width) - self.width
+        flat = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
+        self.eight = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+
+    def wrong(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of the spans data[start:end] that their ids (counts of them each, one after the other) do not
+        spell."""
+        width, span = self.width[ids], np.repeat(np.arange(len(counts)), counts)
+        upto = np.concatenate([[0], np.cumsum(width)])
+        firsts = np.cumsum(counts) - counts
+        bad = upto[firsts + counts] - upto[firsts] != ends - starts
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        place, source = np.repeat(starts - upto[firsts], counts) + upto[:-1], self.offset[ids]
+        np.minimum(place, len(data), out=place)
+        bad[span[(eight[place] ^ self.eight[source]) & FIRST_BYTES[np.minimum(width, 8)] != 0]] = True
+        rest, at = np.flatnonzero(width > 8), 8
+        while len(rest):
+            left = width[rest] - at
+            differs = (eight[np.minimum(place[rest] + at, len(data))] ^ self.eight[source[rest] + at]) & FIRST_BYTES[np.minimum(left, 8)] != 0
+            bad[span[rest[differs]]] = True
+            rest, at = rest[left > 8], at + 8
+        return np.flatnonzero(bad)
+
+
 class IdTable:
     """Open addressing from 64-bit hashes to lists of ids, all in arrays."""
 

@@ -336,5 +336,5 @@ def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str
     left = F.array_join(F.transform(F.array(F.struct(lines.alias("l"), stay.alias("s"))), lambda v: F.array_join(F.transform(v["s"], lambda i: F.get(v["l"], i)), "\n")), "")
     joined = docs.withColumn(mine, F.xxhash64("text")).join(removed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(tie)), "left")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")
-    more = [F.struct(F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")).alias(counts)] if counts else []
+    more = [F.struct(F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")).alias(counts)] if counts else []
     return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns], *more)

@@ -6,7 +6,8 @@ and its new pairs are put on the agenda. The hash's key is the seed, doc_id, the
 candidate's number in the word, so every occurrence of a word is drawn afresh and the same document is always cut
 alike. A word's cut depends on the skipped candidates alone, so each (word, skipped candidates) is kept once worked
 out, with the number of candidates that came up: an occurrence none of whose draws so far is a further skip has its
-cut, else the first further skip is added and looked up. With dropout 0 the result is the library's own.
+cut, else the first further skip is added and looked up. Cuts are looked up by a hash and held against the word's
+bytes, which their ids spell. With dropout 0 the result is the library's own.
 
 No piece has anything before a space mark but other space marks, so words (space marks and what follows) are
 independent; a model for which this does not hold is refused. Characters outside the vocabulary, and a space mark
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytehash import IdTable, Remembering, U, scramble, span_hashes
+from .bytehash import IdTable, Remembering, Spelling, U, scramble, span_hashes
 from .common import slices, small_batches
 
 MARK = "▁"
@@ -138,6 +139,7 @@ class Codec:
         self.pair_rank, self.pair_id = np.full(self.pairs.mask + 1, NEVER), np.full(self.pairs.mask + 1, -1)
         slots = self.pairs.find(keys)
         self.pair_rank[slots], self.pair_id[slots] = r, i
+        self.spelling = Spelling(self.raw)
         self.known = Remembering(settings.bits)
         self.units = Remembered(50_000)
 
@@ -209,6 +211,7 @@ class Codec:
         skips = np.zeros(len(starts), U)  # of each word, those of its draws that count so far
         at, found, size = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         kept, total = [], 0
+        others = np.zeros(len(starts), bool)  # words for which another's cut was found
         while len(at):
 
             def make(new: np.ndarray, at: np.ndarray = at) -> list[np.ndarray]:
@@ -221,6 +224,9 @@ class Codec:
             kept.append(ids)
             total += len(ids)
             came = ids[first].astype(np.int64)
+            cut = np.ones(len(ids), bool)
+            cut[first] = False
+            others[at[self.spelling.wrong(ids[cut], counts - 1, data, starts[at], ends[at])]] = True
             far = np.flatnonzero(came > 64)
             if self.threshold and len(far):  # more candidates than draws: worked out for this place alone
                 for k in at[far].tolist():
@@ -232,6 +238,11 @@ class Codec:
             more = np.flatnonzero((rest != 0) & (came <= 64))
             at, rest = at[more], rest[more]
             skips[at] |= rest & (~rest + U(1))  # the first further skip
+        for k in np.flatnonzero(others).tolist():
+            ids = self._far(whole[starts[k] : ends[k]].decode(), places[k])
+            found[k], size[k] = total, len(ids)
+            kept.append(ids)
+            total += len(ids)
         upto = np.cumsum(size)
         ids = np.concatenate([*kept, EMPTY])[np.arange(upto[-1] if len(upto) else 0) + np.repeat(found - upto + size, size)].view(np.int32)
         upto = np.concatenate([[0], upto])[cuts].tolist()

@@ -34,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytehash import Remembering, span_hashes
+from .bytehash import Remembering, Spelling, span_hashes
 from .common import slices, small_batches
 
 HEADER = struct.Struct("<4sIIIQQ")
@@ -116,13 +116,22 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level token stands for: printable Latin-1 characters stand for themselves,
+    the characters from 256 on for the other bytes in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class ByteLevelEncoder:
     """Ids of texts by the tokenizers library.
 
     A byte-level tokenizer splits a text before white space that follows anything else, so a text's ids are those of
     its chunks (white space and what follows it) one after the other. Chunks return; each is encoded once by the
     library and remembered under a 64-bit hash of its bytes. A whole slice of texts is cut, hashed and looked up at
-    once in arrays.
+    once in arrays. Ids found so are held against the chunk's bytes, which they spell; a chunk that only has another's
+    hash is encoded by itself.
     """
 
     def __init__(self, path: str, bits: int = 20):
@@ -130,9 +139,11 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a byte-level token has one character for each byte of text; added tokens stand for themselves
-        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.width = np.array([added.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(self.tokenizer.get_vocab_size())])
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        byte = byte_alphabet()
+        token = lambda i: bytes(map(byte.__getitem__, self.tokenizer.id_to_token(i) or ""))
+        self.spelling = Spelling([added[i] if i in added else token(i) for i in range(self.tokenizer.get_vocab_size())])
+        self.width = self.spelling.width
         self.known = Remembering(bits)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -164,6 +175,12 @@ class ByteLevelEncoder:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         ids, counts = self.known.ids(span_hashes(data, starts, ends), lambda at: self._each([whole[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+        wrong = self.spelling.wrong(ids, counts, data, starts, ends)
+        if len(wrong):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k, x in zip(wrong.tolist(), self._each([whole[starts[k] : ends[k]] for k in wrong.tolist()]), strict=True):
+                parts[k] = x
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
         upto = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
         for k, i, j in zip(plain, upto[:-1].tolist(), upto[1:].tolist(), strict=True):
             out[k] = ids[i:j]
