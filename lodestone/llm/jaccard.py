@@ -17,8 +17,10 @@ sets keep to, the first n - need + 1 of both have one in common. Steps:
    filters become pairs.
 5. Pairs are verified: an upper bound of the overlap by a bitmap first, then the exact overlap. Links give components.
 
-Steps 3 to 5 work on the shingles and sets left by step 2; nothing is collected but the sketch and bitmaps of fixed
-size. Shingles are 64-bit hashes of whole words.
+Steps 3 to 5 work on the shingles and sets left by step 2; nothing is collected but the sketch, of fixed size, and bitmaps
+sized by the sets to be fetched, 32 MB at most. Shingles are 64-bit hashes of whole words. Sets are equal if 128 bits of two
+independent hashes of their shingles are; the first 64 (sig) go through the joins, and sets that agree in these alone
+get ids of their own.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Repeated rows are equal
 sets. A row without doc_id counts in no component's smallest doc_id, and has a null component if it is alone. Other
@@ -35,53 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import scramble, span_hashes
-from .common import delete, fresh, release, small_batches, stored
+from .bytehash import U, scramble
+from .common import delete, fresh, release, slices, small_batches, stored
 from .components import components
-
-M64 = (1 << 64) - 1
-U = np.uint64
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Two hashes of words in a row have nothing in common but the words' own hashes.
-PLACE_VALUE, CHECK_VALUE = np.random.default_rng(21).integers(1, 1 << 63, (2, 64), dtype=np.uint64) * U(2) + U(1)
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the words between the white space U+0009 to U+000D and space."""
-    space = np.ones(len(data) + 2, bool)
-    np.less(data - np.uint8(9), 5, out=space[1:-1])
-    space[1:-1] |= data == 32
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
-    return span_hashes(data, *word_spans(data))
-
-
-def combine(w: np.ndarray, n: int, values: np.ndarray = PLACE_VALUE) -> np.ndarray:
-    """A hash of each n words in a row."""
-    k = len(w) - n + 1
-    s = np.full(k, n, U)
-    for i in range(n):
-        s += w[i : k + i] * values[i]
-    return scramble(s)
-
-
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct shingles; of a text with fewer words than width, all of them as one."""
-    w = word_hashes(text) if text else np.zeros(0, U)
-    return np.unique(combine(w, min(width, len(w)))) if len(w) else w
-
-
-def signature(s: np.ndarray) -> int:
-    """Of a sorted set; as a signed 64-bit number."""
-    if not len(s):
-        return 0
-    x = int(scramble(np.sum(scramble(s + U(0x632BE59BD9B4E019)), keepdims=True) + U(len(s) * 0x9E3779B97F4A7C15 & M64))[0])
-    return x - (1 << 64) if x >> 63 else x
-
+from .shingling import Shingling, first_shingles, only_first, token_lists
 
 def _rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
     for batch in batches:
@@ -96,41 +55,35 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 CHUNK_BITS = 14
 
 
-def measure(docs: DataFrame, width: int, sketch_bits: int) -> tuple[DataFrame, str]:
-    """A table of kind 0: (doc_id, n, sig) of each document; kind 1: a part of a task's count sketch."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("counts", pa.binary())])
+def measure(docs: DataFrame, kind: Shingling, sketch_bits: int) -> tuple[DataFrame, str]:
+    """A table of kind 0: (doc_id, n, sig, chk) of each document; kind 1: a part of a task's count sketch."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("chk", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << sketch_bits, np.uint32)
-        out, waiting, held = [], [], 0
+        waiting: list[np.ndarray] = []
 
         def count() -> None:
-            nonlocal held
             np.add(sketch, np.bincount((np.concatenate(waiting) >> U(64 - sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32), out=sketch)
             waiting.clear()
-            held = 0
-
-        for doc_id, text in _rows(batches):
-            s = shingles(text, width)
-            out.append((0, doc_id, len(s), signature(s), None))
-            waiting.append(s)
-            held += len(s)
-            if held > 1 << 20:
+
+        for part in slices(batches, 1):
+            x = kind.sets(part.column(1).to_pylist())
+            n, sig, chk = (np.zeros(part.num_rows, np.int64) for _ in range(3))
+            n[x.text], sig[x.text], chk[x.text] = x.counts, x.sig, x.check
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), *map(pa.array, (n, sig, chk)), pa.nulls(part.num_rows, pa.binary())], schema=schema)
+            waiting.append(x.tokens)
+            if sum(map(len, waiting)) > 1 << 20:
                 count()
-            if len(out) >= 4096:
-                yield _batch(out, schema)
-                out.clear()
         if waiting:
             count()
         size = 1 << min(CHUNK_BITS, sketch_bits)
-        for c in range(len(sketch) // size):
-            part = sketch[c * size : (c + 1) * size]
-            if part.any():
-                out.append((1, None, c, None, zlib.compress(part.tobytes(), 1)))
-        if out:
-            yield _batch(out, schema)
+        parts = [sketch[c * size : (c + 1) * size] for c in range(len(sketch) // size)]
+        rows = [(1, None, c, None, None, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(parts) if p.any()]
+        if rows:
+            yield _batch(rows, schema)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, counts binary"), "sets")
+    return stored(docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, chk long, counts binary"), "sets")
 
 
 def frequency_classes(measured: DataFrame, sketch_bits: int, total: int) -> np.ndarray:
@@ -152,36 +105,6 @@ def frequency_classes(measured: DataFrame, sketch_bits: int, total: int) -> np.n
     return np.where(hot, 1 + np.ceil(np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
 
 
-def first_shingles(s: np.ndarray, classes: np.ndarray, shift: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set's first shingles in the common order, and their classes; any partner has one of them."""
-    n = len(s)
-    c = classes[(s >> U(shift)).astype(np.int64)]
-    if c.any():
-        order = np.argsort(c, kind="stable")  # s is sorted by hash
-        s, c = s[order], c[order]
-    p = min(n, n + (percent * n // -100) + 1)
-    return s[:p], c[:p]
-
-
-def first_of_documents(classes: np.ndarray, width: int, percent: int) -> Callable:
-    """For shared_shingles: the first shingles of each text (column 0), one set a text."""
-    shift = 64 - (len(classes) - 1).bit_length()
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        known: set[int] = set()
-        for (text,) in _rows(batches):
-            s = shingles(text, width)
-            sig = signature(s)
-            if not len(s) or sig in known:
-                continue
-            if len(known) < 1_000_000:
-                known.add(sig)  # copies within a task; all others meet in their buckets
-            t, c = first_shingles(s, classes, shift, percent)
-            yield t, np.full(len(t), sig, np.int64), np.arange(len(t), dtype=np.int32), np.full(len(t), len(s), np.int32), c
-
-    return firsts
-
-
 def may_link(n: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
     """Whether a set of n shingles, with one at place p, could link at that shingle with any set that has lo to hi
     shingles and this one at place ``first`` or later: length and positional filter against a whole list."""
@@ -298,35 +221,39 @@ def may_overlap(a: np.ndarray, map_b: bytes, n_b: int) -> int:
     return int(((np.frombuffer(map_b, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).sum())
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 23) -> tuple[DataFrame, str]:
-    """(sig, n, tokens, map) of the wanted (sig, doc_id). Documents are told by a bitmap of doc_ids; the few that it
-    lets through besides are told by their signature."""
+def marked(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places of a bitmap are set."""
+    return ((words[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def fetch_sets(docs: DataFrame, wanted: DataFrame, kind: Shingling) -> tuple[DataFrame, str]:
+    """(id, n, tokens, map) of the wanted (id, sig, chk, doc_id), one row each. A bitmap of doc_ids only spares work; what
+    it lets through besides, or twice, goes by a join."""
+    bits = map_bits(wanted.count())
     marks = docs.sparkSession.sparkContext.broadcast(bits_of(wanted, "doc_id", bits))
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("map", pa.binary())])
+    schema = pa.schema([("sig", pa.int64()), ("chk", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("map", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
         for batch in batches:
-            p = batch.column(1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((marks.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-            for i in range(0, len(hit), 256):
-                for text in batch.column(0).take(pa.array(hit[i : i + 256])).to_pylist():
-                    s = shingles(text, width)
-                    out.append((signature(s), len(s), s.tobytes(), bitmap(s).tobytes()))
-                yield _batch(out, schema)
-                out.clear()
+            hit = np.flatnonzero(marked(marks.value, batch.column(1).to_numpy(zero_copy_only=False)))
+            for part in slices([batch.take(pa.array(hit))]):
+                x = kind.sets(part.column(0).to_pylist())
+                mine = only_first(x, np.arange(len(x.first)))
+                if len(mine):
+                    maps = pa.array([bitmap(x.tokens[i : i + n]).tobytes() for i, n in zip(x.first[mine].tolist(), x.counts[mine].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x.sig[mine]), pa.array(x.check[mine]), pa.array(x.counts[mine]), token_lists(x, mine), maps], schema=schema)
 
-    made = docs.select("text", hashed.alias("p")).mapInArrow(run, "sig long, n long, tokens binary, map binary")
-    return stored(made.join(wanted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "tokens")
+    made = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p")).mapInArrow(run, "sig long, chk long, n long, tokens binary, map binary")
+    made = made.join(wanted.select("id", "sig", "chk"), ["sig", "chk"]).dropDuplicates(["sig", "chk"])
+    return stored(made.select("id", "n", "tokens", "map"), "tokens")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets reach the similarity."""
+    """The pairs (a, b) of ids whose sets reach the similarity."""
     flow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ta", pa.binary())])
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -352,9 +279,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if out:
             yield _batch(out, pair)
 
-    maps = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), "map")
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
+    maps = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "map")
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     likely = pairs.join(maps, "b").join(left, "a").select("a", "b", "n_b", "map", "ta").mapInArrow(possible, "a long, b long, ta binary")
     return likely.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(certain, "a long, b long")
 
@@ -370,35 +297,45 @@ def reachable(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
     return f"(least({na} - {pa_}, {nb} - {pb}) * {100 + percent} >= {percent} * ({na} + {nb}))"
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, sig_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, Shingling(width, sig_bits=sig_bits)
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    measured, measured_path = measure(docs, width, sketch_bits)
+    measured, measured_path = measure(docs, kind, sketch_bits)
     rows = measured.where("kind = 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    lists, lists_path = shared_shingles(docs.select("text"), classes, first_of_documents(classes, width, percent), partitions, percent)
+    lists, lists_path = shared_shingles(docs.select("text"), classes, first_shingles(classes, kind, percent), partitions, percent)
     release(spark)
-    sigs, sigs_path = stored(rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "signatures")
+    one = [F.min("chk").alias("chk"), F.max("chk").alias("other"), F.min("n").alias("n"), F.min("doc_id").alias("doc_id")]
+    sigs, sigs_path = stored(rows.where("n > 0").groupBy("sig").agg(*one).withColumn("id", F.col("sig")), "signatures")
+    clash = sigs.where("chk <> other").select("sig")
+    if not clash.isEmpty():  # different sets of one signature: ids of both hashes for these
+        told = rows.where("n > 0").join(clash, "sig", "left_semi").withColumn("part", F.col("chk")).groupBy("sig", "part").agg(*one).drop("part")
+        sigs, told_path = stored(sigs.where("chk = other").unionByName(told.withColumn("id", F.xxhash64("sig", "chk"))), "signatures")
+        lists, told_lists_path = stored(lists.join(sigs.select("sig", "id"), "sig").drop("sig"), "shared")
+        delete(spark, sigs_path), delete(spark, lists_path)
+        sigs_path, lists_path = told_path, told_lists_path
+    else:
+        lists = lists.withColumnRenamed("sig", "id")
 
     # groups: one test against a leader for each set
-    leaders = lists.groupBy("token").agg(F.min(F.struct("place", "sig", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    key = lists.join(leaders, "token").where(f"sig <> l.sig AND {compatible('n', 'l.n', percent)} AND {reachable('n', 'place', 'l.n', 'l.place', percent)}")
-    key = key.groupBy("sig").agg(F.max(F.struct("size", "token", F.col("l.sig").alias("leader"))).alias("k"))
-    star = key.select(F.least("sig", "k.leader").alias("a"), F.greatest("sig", "k.leader").alias("b")).distinct()
+    leaders = lists.groupBy("token").agg(F.min("place").alias("l_place"), F.min_by("id", "place").alias("l_id"), F.min_by("n", "place").alias("l_n"), F.count("*").alias("size")).where("size > 1")
+    key = lists.join(leaders, "token").where(f"id <> l_id AND {compatible('n', 'l_n', percent)} AND {reachable('n', 'place', 'l_n', 'l_place', percent)}")
+    key = key.groupBy("id").agg(F.max_by("l_id", "size").alias("leader"))
+    star = key.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     star, star_path = stored(star, "star")
-    wanted = ends(star).join(sigs, "sig")
-    sets, sets_path = fetch_sets(docs, wanted, width)
+    wanted = ends(star).join(sigs, "id")
+    sets, sets_path = fetch_sets(docs, wanted, kind)
     links, links_path = stored(verify(star, sets, percent), "links")
     delete(spark, sets_path)
     release(spark)
     groups, groups_path = components(links)
 
     # the token-group matrix, and the groups that queries open
-    entries = lists.join(groups, lists["sig"] == groups["node"], "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("grp"))
+    entries = lists.join(groups, lists["id"] == groups["node"], "left").select("token", "id", "n", "place", F.coalesce("root", "id").alias("grp"))
     entries, entries_path = stored(entries, "entries")
     matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
@@ -407,24 +344,24 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int =
     # overlap with the group's union, seen from their first common shingle, against what its smallest fitting member asks for
     bound = f"least(n - place, hi - first) * {100 * (100 + percent)} >= {percent} * (100 * n + greatest(100 * lo, {percent} * n))"
     fits = queries.join(matrix, (queries["token"] == matrix["token"]) & F.expr(f"grp < g AND 100 * n >= {percent} * lo AND 100 * hi >= {percent} * n AND {bound}"))
-    opened, opened_path = stored(fits.select("sig", "g").distinct(), "opened")
-    q = entries.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    q = q.join(opened.select(F.col("sig").alias("a"), "g"), "a")
-    members = entries.select(F.col("token").alias("t"), F.col("grp").alias("mg"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    opened, opened_path = stored(fits.select("id", "g").distinct(), "opened")
+    q = entries.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    q = q.join(opened.select(F.col("id").alias("a"), "g"), "a")
+    members = entries.select(F.col("token").alias("t"), F.col("grp").alias("mg"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     near = q.join(members, (q["token"] == members["t"]) & (q["g"] == members["mg"]) & F.expr(f"{compatible('na', 'nb', percent)} AND {reachable('na', 'pa', 'nb', 'pb', percent)}"))
     pairs = near.select("a", "b").distinct()
     pairs, pairs_path = stored(pairs, "pairs")
-    wanted = ends(pairs).join(sigs, "sig")
-    sets, sets_path = fetch_sets(docs, wanted, width)
+    wanted = ends(pairs).join(sigs, "id")
+    sets, sets_path = fetch_sets(docs, wanted, kind)
     more, more_path = stored(verify(pairs, sets, percent), "links")
     delete(spark, sets_path)
     release(spark)
     roots, roots_path = components(links.unionByName(more))
 
-    labelled = sigs.join(roots, sigs["sig"] == roots["node"], "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("root"))
+    labelled = sigs.join(roots, sigs["id"] == roots["node"], "left").select("sig", "chk", "doc_id", F.coalesce("root", "id").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    final, _ = stored(labelled.join(smallest, "root").select(F.col("sig").alias("_sig"), "component_id"), "components")
-    out = rows.join(final, (rows["sig"] == final["_sig"]) & (rows["n"] > 0), "left")
+    final, _ = stored(labelled.join(smallest, "root").select(F.col("sig").alias("_sig"), F.col("chk").alias("_chk"), "component_id"), "components")
+    out = rows.join(final, (rows["sig"] == final["_sig"]) & (rows["chk"] == final["_chk"]) & (rows["n"] > 0), "left")
     for path in (sigs_path, lists_path, star_path, links_path, groups_path, entries_path, opened_path, pairs_path, more_path, roots_path):
         delete(spark, path)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -27,99 +27,20 @@ columns pass through. An empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import ODD, scramble, span_hashes
+from .bytehash import U
 from .common import delete, fresh, release, slices, small_batches, stored
-from .jaccard import CHECK_VALUE, CHUNK_BITS, LOWER, PLACE_VALUE, U, _batch, bits_of, combine, compatible, frequency_classes, map_bits, reachable, shared_shingles, word_spans
-
-
-#: A line's number in a slice and this many bits of a token make one integer to sort by.
-SORTED_BITS = 44
-
-
-class Lines(NamedTuple):
-    """The lines of a slice of texts that have any token."""
-
-    text: np.ndarray
-    line: np.ndarray
-    """Number of the text in the slice, and of the line in the text."""
-    first: np.ndarray
-    counts: np.ndarray
-    """Where the line's tokens begin and how many distinct ones it has."""
-    tokens: np.ndarray
-    """Sorted within each line."""
-    sig: np.ndarray
-    check: np.ndarray
-    """128 bits that tell the line's set of tokens: of two independent hashes of each shingle."""
-
-
-NOTHING = Lines(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(2)))
-
-
-def line_shingles(texts: list[str | None], width: int, short: bool = False, sig_bits: int = 64) -> Lines:
-    coded = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
-    data = np.frombuffer(b"\n".join(coded), np.uint8)
-    starts, ends = word_spans(data)
-    if len(starts) < (1 if short else width):
-        return NOTHING
-    w = span_hashes(data, starts, ends)
-    breaks = np.flatnonzero(data == 10)
-    line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1))[:-1]
-    s, c, at = w[:0], w[:0], line[:0]
-    if len(w) >= width:
-        whole = np.flatnonzero(line[width - 1 :] == line[: len(line) - width + 1])
-        s, c, at = combine(w, width)[whole], combine(w, width, CHECK_VALUE)[whole], line[whole]
-    if short:
-        begins = np.flatnonzero(np.diff(line, prepend=-1))
-        n_words = np.diff(np.append(begins, len(line)))
-        few = [(combine_at(w, n, k, PLACE_VALUE), combine_at(w, n, k, CHECK_VALUE), line[k]) for n in range(1, width) if len(k := begins[n_words == n])]
-        s, c, at = (np.concatenate(x) for x in zip((s, c, at), *few, strict=True))
-    if not len(s):
-        return NOTHING
-    s, c, line = distinct(s, c, at)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    counts = np.diff(np.append(first, len(s)))
-    at = line[first]  # line number in the slice
-    bounds = np.cumsum([0, *[x.count(b"\n") + 1 for x in coded]])  # first line of each text
-    text = np.searchsorted(bounds, at, side="right") - 1
-    size = counts.astype(U) * U(ODD)
-    sig, check = (scramble(np.add.reduceat(scramble(x ^ U(ODD)), first) + size).view(np.int64) for x in (s, c))
-    return Lines(text, at - bounds[text], first, counts, s, sig >> (64 - sig_bits), check)
-
-
-def distinct(s: np.ndarray, c: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By line, then token, each once; c goes with s."""
-    if int(line.max()) < 1 << (64 - SORTED_BITS):
-        # line number and the upper part of the token in one integer, which sorts several times faster than two keys
-        key = line.astype(U) << U(SORTED_BITS) | s >> U(64 - SORTED_BITS)
-        order = np.argsort(key)
-        t, key = s[order], key[order]
-        same = key[1:] == key[:-1]
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        new[1:] |= ~same
-        if not (same & new[1:]).any():
-            order = order[new]
-            return t[new], c[order], line[order]
-    order = np.lexsort((s, line))  # two tokens of a line agree in the upper part
-    t, at = s[order], line[order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (at[1:] != at[:-1])])
-    return t[new], c[order][new], at[new]
-
-
-def combine_at(w: np.ndarray, n: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """combine(w, n) at some places."""
-    words = w[places[:, None] + np.arange(n)].reshape(-1)
-    return combine(words, n, values)[::n]
-
-
-def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
+from .jaccard import CHUNK_BITS, _batch, bits_of, compatible, frequency_classes, map_bits, marked, reachable, shared_shingles
+from .shingling import Shingling, distinct, first_shingles, only_first, token_lists
+
+
+def measure_lines(docs: DataFrame, kind: Shingling, sketch_bits: int) -> tuple[DataFrame, str]:
     """A table of kind 0: a line's (doc_id, tie, line, n, sig, chk, again), again if an earlier line of the same text
     has the same set; kind 1: a part of a task's count sketch, n its number."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("chk", pa.int64()), ("again", pa.bool_()), ("counts", pa.binary())])
@@ -134,7 +55,7 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = F
             waiting.clear()
 
         for part in slices(batches):
-            x = line_shingles(part.column(0).to_pylist(), width, short, sig_bits)
+            x = kind.sets(part.column(0).to_pylist())
             k = len(x.first)
             if not k:
                 continue
@@ -161,37 +82,7 @@ def measure_lines(docs: DataFrame, width: int, sketch_bits: int, short: bool = F
     return stored(docs.mapInArrow(run, "kind int, doc_id long, tie long, line int, n int, sig long, chk long, again boolean, counts binary"), "lines")
 
 
-def first_of_lines(classes: np.ndarray, width: int, percent: int, short: bool = False, sig_bits: int = 64) -> Callable:
-    shift = 64 - (len(classes) - 1).bit_length()
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for part in slices(batches):
-            _, _, first, counts, s, sigs, check = line_shingles(part.column(0).to_pylist(), width, short, sig_bits)
-            if not len(first):
-                continue
-            _, once, mine = np.unique(sigs, return_index=True, return_inverse=True)
-            take = np.zeros(len(sigs), bool)
-            take[once] = True
-            take |= check != check[once][mine]  # another set of the same signature
-            c = classes[(s >> U(shift)).astype(np.int64)]
-            line = np.repeat(np.arange(len(first)), counts)
-            if c.any():  # lines with a frequent token: by class, then hash
-                frequent = np.zeros(len(first), bool)
-                frequent[line[c > 0]] = True
-                some = np.flatnonzero(frequent[line])
-                order = some[np.argsort(line[some] << 8 | c[some], kind="stable")]  # by hash within a class already
-                s[some], c[some] = s[order], c[order]
-            place = np.arange(len(s)) - np.repeat(first, counts)
-            p = np.minimum(counts, counts + (percent * counts // -100) + 1)
-            keep = (place < np.repeat(p, counts)) & np.repeat(take, counts)
-            keep = np.flatnonzero(keep)
-            at = line[keep]
-            yield s[keep], sigs[at], place[keep].astype(np.int32), counts[at].astype(np.int32), c[keep]
-
-    return firsts
-
-
-def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
+def fetch_lines(docs: DataFrame, wanted: DataFrame, kind: Shingling) -> tuple[DataFrame, str]:
     """(id, tokens) of the wanted (id, sig, chk, doc_id), one row each. Bitmaps of documents and of lines only spare work;
     what they let through besides, or twice, goes by a join."""
     context, bits = docs.sparkSession.sparkContext, map_bits(wanted.count())
@@ -200,21 +91,12 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame, width: int, short: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((doc_marks.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(marked(doc_marks.value, batch.column(1).to_numpy(zero_copy_only=False)))
             for part in slices([batch.take(pa.array(hit))]):
-                x = line_shingles(part.column(0).to_pylist(), width, short, sig_bits)
-                at = x.sig & (bits - 1)
-                mine = np.flatnonzero((line_marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                if not len(mine):
-                    continue
-                order = mine[np.lexsort((x.check[mine], x.sig[mine]))]
-                g, c = x.sig[order], x.check[order]
-                mine = np.zeros(len(x.first), bool)
-                mine[order[np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])]] = True
-                offsets = np.concatenate([[0], 8 * np.cumsum(x.counts[mine])]).astype(np.int32)
-                tokens = pa.Array.from_buffers(pa.binary(), int(mine.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(x.tokens[np.repeat(mine, x.counts)])])
-                yield pa.RecordBatch.from_arrays([pa.array(x.sig[mine]), pa.array(x.check[mine]), tokens], schema=schema)
+                x = kind.sets(part.column(0).to_pylist())
+                mine = only_first(x, np.flatnonzero(marked(line_marks.value, x.sig & (bits - 1))))
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.sig[mine]), pa.array(x.check[mine]), token_lists(x, mine)], schema=schema)
 
     made = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p")).mapInArrow(run, "sig long, chk long, tokens binary")
     made = made.join(wanted.select("id", "sig", "chk"), ["sig", "chk"]).dropDuplicates(["sig", "chk"])
@@ -269,17 +151,16 @@ def set_table(lines: DataFrame, *key: str) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
-    """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored.
-    With fewer ``sig_bits`` more sets agree in their signatures, which changes nothing in the result (a test's handle)."""
-    spark = docs.sparkSession
+    """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
+    spark, kind = docs.sparkSession, Shingling(width, short, True, sig_bits)
     small_batches(spark)
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tie"))
-    measured, measured_path = measure_lines(docs, width, sketch_bits, short, sig_bits)
+    measured, measured_path = measure_lines(docs, kind, sketch_bits)
     lines = measured.where("kind = 0").select("sig", "chk", "n", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "doc_id", "tie", "line", "again")
     total = lines.agg(F.sum("n")).first()[0] or 0
     classes = frequency_classes(measured, sketch_bits, total)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
-    shared, shared_path = shared_shingles(docs.select("text"), classes, first_of_lines(classes, width, percent, short, sig_bits), partitions, percent)
+    shared, shared_path = shared_shingles(docs.select("text"), classes, first_shingles(classes, kind, percent), partitions, percent)
     release(spark)
     once = lines.where("NOT again")
     sigs, sigs_path = stored(set_table(once, "sig").withColumn("id", F.col("sig")), "signatures")
@@ -300,7 +181,7 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     star, star_path = stored(star, "star")
     wanted = lists.select("id").distinct().join(sigs.select("id", "sig", "chk", F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id")), "id")
     wanted, wanted_path = stored(wanted, "wanted")
-    sets, sets_path = fetch_lines(docs, wanted, width, short, sig_bits)
+    sets, sets_path = fetch_lines(docs, wanted, kind)
     late, late_path = stored(matching(star, sets, percent).select(F.col("a").alias("id")), "late")
 
     # every earlier set for those still open

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lodestone.llm import linededup
+from lodestone.llm import jaccard, linededup, shingling
 
 from . import messy
 from .test_messy_documents import brute_lines
@@ -40,9 +40,17 @@ def test_different_sets_of_one_signature(spark):
     assert kept(spark, texts) == sorted((str(i), want[(i, t)]) for i, t in texts)
 
 
+def test_documents_of_one_signature(spark):
+    base = messy.prose(50, 60)
+    texts = [(k, " ".join(["start", *base.split()[: 30 + k % 3], f"end{k % 9}"]) if k % 2 else messy.prose(k % 11, 12 + k % 5)) for k in range(80)]
+    docs = messy.documents(spark, [*texts, *messy.TEXTS])
+    told = lambda **x: sorted(map(str, jaccard.link(docs, **x).collect()))
+    assert told(sig_bits=3) == told()
+
+
 def test_tokens_that_agree_in_their_upper_bits():
     s = np.array([5 << 20 | 3, 5 << 20 | 1, 5 << 20 | 3, 7 << 20, 5 << 20 | 1], np.uint64)
-    t, c, line = linededup.distinct(s, s, np.array([0, 0, 0, 0, 1]))
+    t, c, line = shingling.distinct(s, s, np.array([0, 0, 0, 0, 1]))
     assert t.tolist() == c.tolist() == [5 << 20 | 1, 5 << 20 | 3, 7 << 20, 5 << 20 | 1] and line.tolist() == [0, 0, 0, 1]
     pack = lambda *x: np.array(x, np.uint64).tobytes()
     na, nb, common = linededup.overlaps([pack(1, 2, 3), pack(4)], [pack(2, 3, 9, 10), pack(5)])

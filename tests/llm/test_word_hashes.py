@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lodestone.llm import bytehash, jaccard, linededup, pieces, queries, tokenfile
+from lodestone.llm import bytehash, jaccard, linededup, pieces, queries, shingling, tokenfile
 
 from . import messy
 
@@ -21,7 +21,7 @@ WORDS = [w for n in (64, 512, 1024, 2048) for w in thue_morse(n)]
 
 def hashes(words):
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    return bytehash.span_hashes(data, *jaccard.word_spans(data))
+    return bytehash.span_hashes(data, *shingling.word_spans(data))
 
 
 def test_hashes_differ():
