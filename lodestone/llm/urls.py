@@ -4,7 +4,11 @@ A cascade stores which keys of a *complete, known* key universe are listed. Leve
 listed keys; level 1 one of the unlisted keys that level 0 wrongly holds; level 2 one of the listed keys that
 level 1 wrongly holds, and so on until a level has no false positive left. The first level that does not hold a
 key decides, so for every key of the universe the answer is exact, and looking a key up is a few bit tests in an
-expression: no join, no shuffle.
+expression: no join, no shuffle. The list of hosts is made from a table of domains, which may be of any size; it and the
+levels are built by aggregations and joins of distinct hosts.
+
+Null urls, and urls without a host, have an empty host, which no domain but an empty one lists. Repeated rows are judged
+alike, each on its own. An empty table gives no rows, an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, delete, stored
+from .common import ascii_lower, delete, fresh, stored
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -48,20 +52,38 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
+def test_bits(bitmap: Column, key: Column, level: int, bits: int, hashes: int) -> Column:
+    """Whether all of the key's bits are set in the bitmap (array<bigint>)."""
+    test = F.lit(True)
+    for p in positions(key, level, bits, hashes):
+        word = F.get(bitmap, F.shiftright(p, 6).cast("int"))
+        test &= F.expr("1").cast("long") == F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return test
+
+
 @dataclass
 class Level:
+    """A bitmap as a literal, for use inside lambda functions."""
+
     bits: int
     hashes: int
     words: list[int] = field(repr=False)
 
     def holds(self, key: Column, level: int) -> Column:
         # folded by the optimizer into one literal array, so the test is an array access
-        bitmap = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        test = F.lit(True)
-        for p in positions(key, level, self.bits, self.hashes):
-            word = F.get(bitmap, F.shiftright(p, 6).cast("int"))
-            test &= F.expr("1").cast("long") == F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-        return test
+        return test_bits(F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>"), key, level, self.bits, self.hashes)
+
+
+@dataclass
+class Bitmap:
+    """A bitmap as a table of one row (words array<bigint>), which a query reads once, as a scalar subquery."""
+
+    bits: int
+    hashes: int
+    table: DataFrame = field(repr=False)
+
+    def holds(self, key: Column, level: int) -> Column:
+        return test_bits(self.table.scalar(), key, level, self.bits, self.hashes)
 
 
 def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -78,8 +100,8 @@ class BloomCascade:
     row is listed, null keys are dropped (a null key is never listed). Every key that is looked up later must be in
     the universe, else its answer may be a false positive.
 
-    A level's bitmap goes into the expression, hence to every executor. ``max_bits`` bounds it (2**26 bits are 8
-    MB). A list that needs more raises ``TooLarge``; then `listed_keys` with an ordinary semi join is the way.
+    A level's bitmap goes to every executor, once. ``max_bits`` bounds it (2**26 bits are 8 MB). A list that needs more
+    raises ``TooLarge``; `filter_urls` then looks its hosts up by a join.
     An empty list, an empty universe and a list that is the whole universe need no special case: with no listed
     key there is no level, and nothing is listed.
     """
@@ -89,7 +111,7 @@ class BloomCascade:
 
     def __init__(self, universe: DataFrame, first_rate: float = 0.01, rate: float = 0.5, max_bits: int = 1 << 26):
         keys, path = stored(universe.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed")), "cascade")
-        self.levels: list[Level] = []
+        self.levels: list[Bitmap] = []
         listed, rest = keys.where("listed"), keys.where("NOT coalesce(listed, false)")
         side, other = listed, rest
         while n := side.count():
@@ -105,18 +127,17 @@ class BloomCascade:
         delete(universe.sparkSession, path)
 
     @staticmethod
-    def _build(keys: DataFrame, level: int, bits: int, hashes: int) -> Level:
+    def _build(keys: DataFrame, level: int, bits: int, hashes: int) -> Bitmap:
         p = F.col("p")
-        rows = (
+        words = (
             keys.select(F.explode(F.array(*positions(F.col("key"), level, bits, hashes))).alias("p"))
             .groupBy(F.shiftright(p, 6).alias("w"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-            .collect()  # at most bits / 64 rows, bounded by max_bits
         )
-        words = [0] * (bits // 64)
-        for w, b in rows:
-            words[w] = b
-        return Level(bits, hashes, words)
+        every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+        # one row of bits / 64 words, bounded by max_bits
+        one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+        return Bitmap(bits, hashes, stored(one, "bitmap")[0])
 
     def listed(self, key: Column) -> Column:
         """Whether the key is listed: the first level without it decides; odd levels hold unlisted keys."""
@@ -127,24 +148,38 @@ class BloomCascade:
 
 
 def listed_keys(df: DataFrame, key: str, listed: DataFrame) -> DataFrame:
-    """The way beyond ``max_bits``: rows of df whose key is listed, by a semi join."""
+    """Rows of df whose key is listed, by a semi join."""
     return df.join(listed.select(F.col("key").alias(key)), key, "left_semi")
 
 
-def under_domain(host: Column, domains: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for d in domains:
-        out |= (host == d) | host.endswith("." + d)
-    return out
+def hosts_under(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """The distinct (key) of hosts that are one of the domains (domain), or a subdomain of one. A host is looked up by its
+    ends, of no more labels than the longest domain has."""
+    labels = F.split("key", r"\.")
+    most = domains.agg(F.max(F.size(F.split("domain", r"\.")))).first()[0] or 0
+    n = F.size(labels)
+    ends = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(max(1, most)))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    tried = hosts.select("key").where(F.col("key").isNotNull()).distinct().select("key", F.explode(ends).alias("domain"))
+    return tried.join(domains.select("domain").distinct(), "domain", "left_semi").select("key").distinct()
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], blocked_domains: tuple[str, ...], max_bits: int = 1 << 26) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], blocked: DataFrame | tuple[str, ...], max_bits: int = 1 << 26) -> DataFrame:
     """All columns of pages (page_id, url needed) with host, path, rule and verdict appended; columns that pages
-    already has under these names are replaced. The list is every host of the pages under a blocked domain, its
-    universe every host of the pages."""
+    already has under these names are replaced. ``blocked`` is a table of domains (domain), or some of them. The cascade's
+    list is every host of the pages under one of them, its universe every host of the pages. If that needs over
+    ``max_bits`` bits a level, hosts are looked up by a join with the list, with the same result."""
+    spark, name = pages.sparkSession, fresh(pages, "listed_host")
+    domains = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(d,) for d in blocked], "domain string")
     host, path = host_path(F.col("url"))
-    universe = pages.select(host.alias("key")).withColumn("listed", under_domain(F.col("key"), blocked_domains))
-    cascade = BloomCascade(universe, max_bits=max_bits)
-    out = pages.withColumn("host", host).withColumn("path", path)
+    hosts = pages.select(host.alias("key")).distinct()
+    listed, _ = stored(hosts_under(hosts, domains), "listed")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(cascade.listed(F.col("host")), "block").otherwise("allow")))
+    out = pages.withColumn("host", host).withColumn("path", path)
+    try:
+        cascade = BloomCascade(hosts.withColumn("listed", F.lit(False)).unionByName(listed.withColumn("listed", F.lit(True))), max_bits=max_bits)
+        found = cascade.listed(F.col("host"))
+    except BloomCascade.TooLarge:
+        out = out.join(listed.select(F.col("key").alias(name)), F.col("host") == F.col(name), "left")
+        found = F.col(name).isNotNull()
+    names = [*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path"]
+    return out.select(*[F.col(f"`{c}`") for c in names], rule.alias("rule"), F.coalesce(verdict, F.when(found, "block").otherwise("allow")).alias("verdict"))
