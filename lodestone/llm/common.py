@@ -7,11 +7,13 @@ import gc
 import re
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +57,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir. Where that is unset (local tests) a temporary folder is made and set."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir. Where that is unset, a
+    temporary folder is made and set in local mode; a cluster's executors would not share it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -72,11 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path, unless the session has ended before. That it cannot be deleted is a warning: it is no result."""
+    if spark.sparkContext._jsc is None:
+        return
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have ended before; scratch files are no result
-        pass
+    except (Py4JError, OSError) as e:
+        warnings.warn(f"{path} is left behind: {e}", stacklevel=2)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -30,7 +30,9 @@ def repeated_words(words: Column) -> Column:
     """How many words stand in a 3-word window that is found twice or more in the text, the first one included.
 
     Windows are compared by a 64-bit hash. Sorting (hash, position) puts equal windows side by side; the positions
-    of those, sorted again, cover min(3, gap to the next) words each. Linear memory, n log n time, no shuffle.
+    of those, sorted again, cover min(3, gap to the next) words each. Linear memory, n log n time, no shuffle. Hash and position
+    are sorted as one integer where that is sure to do the same: not if there are too many positions for its lower part, or if
+    different windows agree in its upper part.
     """
     n = F.size(words)
     grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
@@ -46,9 +48,13 @@ def repeated_words(words: Column) -> Column:
     def packed(h: Column) -> Column:
         keys = F.array_sort(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
         at = lambda k: k.bitwiseAND(F.lit(mask))
-        same = lambda a, b: F.coalesce(F.get(h, at(a).cast("int")) == F.get(h, at(b).cast("int")), F.lit(False))
+        hash_of = lambda k: F.get(h, at(k).cast("int"))
+        same = lambda a, b: F.coalesce(hash_of(a) == hash_of(b), F.lit(False))
         pick = lambda k: F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1)))
-        return _let(keys, lambda k: covered(F.array_sort(F.transform(pick(k), at))))
+        # windows that agree in the upper part of the hash alone might part equal ones
+        near = lambda a, b: F.coalesce(a.bitwiseXOR(b).bitwiseAND(F.lit(~mask)) == F.lit(0).cast("long"), F.lit(False))
+        mixed = lambda k: F.size(F.filter(k, lambda x, i: near(x, F.get(k, i - 1)) & (hash_of(x) != hash_of(F.get(k, i - 1))))) > 0
+        return _let(keys, lambda k: F.when(mixed(k), wide(h)).otherwise(covered(F.array_sort(F.transform(pick(k), at)))))
 
     def wide(h: Column) -> Column:
         keys = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p"))))
@@ -142,7 +148,9 @@ class DecisionList:
 
 
 def cover(x: np.ndarray, bad: np.ndarray, names: list[str], seed: int = 7, cuts: int = 64, min_precision: float = 0.9, min_covered: int = 3, max_conditions: int = 4) -> DecisionList:
-    """Sequential covering over a matrix of features (rows: labelled documents)."""
+    """Sequential covering over a matrix of features (rows: labelled documents). A rule has at most ``max_conditions``
+    thresholds, each out of ``cuts`` quantiles of its feature; it is kept if it covers ``min_covered`` bad documents or more
+    with a precision of ``min_precision`` or more, on the pruning part as well."""
     rng = np.random.default_rng(seed)
     left, rules = np.ones(len(bad), bool), []
     grid = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, cuts + 1))) if len(x) else np.zeros(0) for j in range(x.shape[1])]
@@ -192,15 +200,17 @@ def cover(x: np.ndarray, bad: np.ndarray, names: list[str], seed: int = 7, cuts:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, seed: int = 7) -> DecisionList:
-    """Learns from at most ``max_labelled`` labelled documents, those whose doc_id has the smallest seeded hash (the
-    bound holds for broadcast and collect alike). A doc_id labelled more than once counts as its lowest quality."""
+    """Learns from at most ``max_labelled`` labelled documents, those whose doc_id has the smallest seeded hash. A doc_id
+    labelled more than once counts as its lowest quality; of several rows of a doc_id the one with the smallest text
+    hash counts. So broadcast and collect are bounded by max_labelled rows alike."""
     picked = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
-        .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_labelled).groupBy("_id").agg(F.min("_quality").alias("_quality"))
+        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
+        .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_labelled)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = known.select("doc_id", (F.col("_quality") == 0).alias("bad"), _let(statistics(F.col("text")), lambda s: F.struct(base_failed(s).alias("failed"), F.array(*[f(s) for f in FEATURES.values()]).alias("x"))).alias("s"))
-    rows = sorted((i, tuple(s["x"]), bad) for i, bad, s in rows.collect() if not s["failed"])  # bounded by max_labelled doc_ids
+    measured = _let(statistics(F.col("text")), lambda s: F.struct(base_failed(s).alias("failed"), F.array(*[f(s) for f in FEATURES.values()]).alias("x")))
+    rows = known.select("doc_id", (F.col("_quality") == 0).alias("bad"), measured.alias("s"), F.xxhash64("text").alias("h")).groupBy("doc_id", "bad").agg(F.min_by("s", "h").alias("s"))
+    rows = sorted((i, tuple(s["x"]), bad) for i, bad, s in rows.collect() if not s["failed"])
     x = np.array([r[1] for r in rows], float).reshape(len(rows), len(FEATURES))
     return cover(x, np.array([r[2] for r in rows], bool), list(FEATURES), seed)
 

@@ -41,6 +41,21 @@ HEADER = struct.Struct("<4sIIIQQ")
 MAGIC, VERSION = b"LSTK", 1
 
 
+#: Hadoop's names of file systems that pyarrow names otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    scheme, colon, rest = uri.partition("://")
+    return SCHEMES.get(scheme, scheme) + colon + rest
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a Hadoop URI, and the path in it. Workers need that file system's credentials as pyarrow
+    finds them (for s3: the environment or the instance's role)."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
@@ -77,7 +92,7 @@ class TokenFile:
     """Random access to one file, by document or by id position."""
 
     def __init__(self, uri: str):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
         self.file = fs.open_input_file(path)
         magic, version, self.bits, self.block_ids, self.n_docs, self.n_ids = HEADER.unpack(self.file.read(HEADER.size))
         if magic != MAGIC or version != VERSION:
@@ -210,7 +225,7 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable[[], object], voca
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, folder = pafs.FileSystem.from_uri(path)
+        fs, folder = file_system(path)
         fs.create_dir(folder, recursive=True)
         made = encoder()
         part, seq, out = TaskContext.get().partitionId(), 0, []
