@@ -171,5 +171,15 @@ def truncate_path(path: Column, length: int) -> Column:
     return F.when(F.length(path) <= length, path).otherwise(F.concat(F.lit(".../"), grown))
 
 
+def looks_like_text(name: Column, data: Column, extensions: list[str]) -> Column:
+    """The scanner's sniff on contents in a table: by extension, else by the first KiB of data (binary): no NUL, and over 70 %
+    printable ASCII. Empty data is no text."""
+    first = F.substring(data, 1, 1024)
+    each = F.decode(first, "ISO-8859-1")  # a character for each byte
+    printable = F.length(F.regexp_replace(each, "[^ -~\\t\\n\\r]", ""))
+    by_bytes = (F.octet_length(first) > 0) & (F.instr(each, "\0") == 0) & (printable / F.octet_length(first) > 0.7)
+    return F.lower(file_ext(name)).isin(*[e.lower() for e in extensions]) | F.coalesce(by_bytes, F.lit(False))
+
+
 def fingerprint(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(8))

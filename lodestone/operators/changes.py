@@ -67,13 +67,13 @@ def smart_context(changes: DataFrame, contents: DataFrame, manual: str | None =
     return joined.withColumn("full_content", F.when(rule, F.col("_content"))).drop("_content")
 
 
-def scope(changes: DataFrame) -> DataFrame:
-    return changes.agg(F.count("*").alias("files_changed"), F.lit(0).cast("long").alias("functions_modified"), F.coalesce(F.sum("additions"), F.lit(0)).cast("long").alias("lines_added"), F.coalesce(F.sum("deletions"), F.lit(0)).cast("long").alias("lines_deleted"))
+def scope(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return changes.groupBy(*(by or [])).agg(F.count("*").alias("files_changed"), F.lit(0).cast("long").alias("functions_modified"), F.coalesce(F.sum("additions"), F.lit(0)).cast("long").alias("lines_added"), F.coalesce(F.sum("deletions"), F.lit(0)).cast("long").alias("lines_deleted"))
 
 
-def token_estimate(shown: DataFrame) -> DataFrame:
+def token_estimate(shown: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Of diffs and full contents together: a diff counts even where the full file is shown."""
-    return shown.agg(F.ceil((F.coalesce(F.sum(F.length("diff")), F.lit(0)) + F.coalesce(F.sum(F.length("full_content")), F.lit(0))) / 4).cast("long").alias("estimated"))
+    return shown.groupBy(*(by or [])).agg(F.ceil((F.coalesce(F.sum(F.length("diff")), F.lit(0)) + F.coalesce(F.sum(F.length("full_content")), F.lit(0))) / 4).cast("long").alias("estimated"))
 
 
 def token_savings(shown: DataFrame, contents: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -98,6 +98,13 @@ def selected_changes(files: DataFrame) -> DataFrame:
     return untracked_changes(known).join(known.select("file", "last_modified"), "file")
 
 
+def listed_changes(files: DataFrame) -> DataFrame:
+    """Listed files (file, last_modified, null where a file cannot be read, ord) as added ones without content: no line
+    is counted yet. Folders (is_directory, if there) are left out."""
+    kept = files.where("NOT coalesce(is_directory, false)") if "is_directory" in files.columns else files
+    return kept.select("file", F.lit("added").alias("status"), F.lit(0).alias("additions"), F.lit(0).alias("deletions"), F.lit("").alias("diff"), F.lit(None).cast("string").alias("old_file"), "last_modified", "ord")
+
+
 def with_modification_times(changes: DataFrame, listing: DataFrame) -> DataFrame:
     return changes.join(listing.select(F.col("relative_path").alias("file"), "last_modified"), "file", "left")
 

@@ -18,7 +18,7 @@ EXCLUDES = {
     "logs": ["*.log", "logs/**", "*.tmp", "tmp/**", "temp/**"],
     "system": [".DS_Store", "thumbs.db", "desktop.ini"],
     "env": [".env*", "!.env.example"],
-    "tool": ["**/.dex/**", "**/.opencode/**", "**/.workarea/**"],
+    "tool": ["**/.lodestone/**", "**/.opencode/**", "**/.workarea/**"],
     "python": ["**/__pycache__/**", "**/.pytest_cache/**", "**/.mypy_cache/**", "*.pyc", "*.pyo"],
     "java": ["**/target/**", "*.class", "**/.gradle/**", "**/gradle/**"],
     "dotnet": ["**/bin/**", "**/obj/**", "*.dll", "*.exe", "*.pdb"],

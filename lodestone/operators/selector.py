@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import text as T
 
@@ -39,6 +40,20 @@ def sort_keys(by: str = "name", descending: bool = False) -> list[Column]:
     return [F.desc_nulls_last(column) if descending else F.asc_nulls_first(column), F.asc("ord")]
 
 
+def places(df: DataFrame, keys: list[Column], name: str = "place") -> DataFrame:
+    """df with the row's place, from 1, in the order of the keys: sorted in ranges, numbered within each. Only a count for
+    each range comes to the driver. The ranges are kept on disk, as a second run might cut them elsewhere."""
+    cut = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    counts = sorted(map(tuple, cut.groupBy("_range").count().collect()))  # one row a partition
+    before, starts = 0, []
+    for part, n in counts:
+        starts.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _before long")
+    number = F.row_number().over(W.partitionBy("_range").orderBy(*keys))
+    return cut.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + number).alias(name))
+
+
 def panel_sort_keys(by: str = "name") -> list[Column]:
     """The panel's order: latest and largest first, names and states upwards."""
     return sort_keys(by, descending=by in ("updated", "size"))

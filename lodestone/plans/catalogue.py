@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import languages as L
 from ..functions import text as T
@@ -145,7 +144,7 @@ PICKER = f"""{CHANGES}, picker AS (
 @query(f"WITH {PICKER} SELECT file, row_number() OVER (ORDER BY last_modified DESC NULLS LAST, ord) AS place FROM picker")
 def q_selector_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = S.sort_keys("updated", descending=True)
-    return _picker(spark, sf_dir).select("file", F.row_number().over(W.orderBy(*keys)).cast("long").alias("place"))
+    return S.places(_picker(spark, sf_dir).select("file", "last_modified", "ord"), keys).select("file", "place")
 
 
 @query(f"WITH {PICKER} SELECT 'staged' AS kind, file FROM picker WHERE is_staged UNION ALL SELECT 'untracked', file FROM picker WHERE is_untracked UNION ALL SELECT 'modified', file FROM picker WHERE status = 'modified'")
@@ -435,16 +434,6 @@ def q_distill_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.metrics(files, distill.parse(files)).select("file_count", "distilled_tokens")
 
 
-@query("""SELECT string_agg('<file path="m' || doc_id || '.py">' || chr(10) || 'import ''os''' || chr(10) || 'import ''m' || doc_id || '''' || chr(10)
-        || 'export class C' || doc_id || ' {' || chr(10) || '    def run(y: int = 1) -> str' || chr(10) || '    async def go()' || chr(10) || '}' || chr(10)
-        || 'export def f' || doc_id || '(p, q=2) -> int' || chr(10) || 'export LIMIT_' || doc_id || ' = ' || doc_id || chr(10) || '</file>', chr(10) || chr(10) ORDER BY 'src/m' || doc_id || '.py') AS document
-    FROM documents WHERE doc_id < 50""")
-def q_distill_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is one text, so this report is over the first 50 files."""
-    files = python_files(spark, sf_dir).where(F.regexp_extract("file", r"(\d+)", 1).cast("long") < 50)
-    return distill.distill(files, DistillOptions())
-
-
 @query("""SELECT (doc_id // 100)::BIGINT AS package, string_agg('<file path="m' || doc_id || '.py">' || chr(10) || 'import ''os''' || chr(10) || 'import ''m' || doc_id || '''' || chr(10)
         || 'export class C' || doc_id || ' {' || chr(10) || '    def run(y: int = 1) -> str' || chr(10) || '    async def go()' || chr(10) || '}' || chr(10)
         || 'export def f' || doc_id || '(p, q=2) -> int' || chr(10) || 'export LIMIT_' || doc_id || ' = ' || doc_id || chr(10) || '</file>', chr(10) || chr(10) ORDER BY 'src/m' || doc_id || '.py') AS document

@@ -50,20 +50,33 @@ def dependencies(parsed: DataFrame) -> DataFrame:
     return parsed.select("file", F.transform("imports", lambda i: i["source"]).alias("imports"), F.transform("exports", lambda e: e["name"]).alias("exports"))
 
 
-def metrics(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row: file count, directories, languages, tokens before and after, and the ratio. Failed files count as
-    files, not as tokens."""
+def metrics(files: DataFrame, parsed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each group of ``by``, columns of both): file count, directories, languages, tokens before and after,
+    and the ratio. Failed files count as files, not as tokens. Of the files only their lengths are joined with what
+    was parsed, and the parsed rows are read once."""
     tokens = lambda x: F.ceil(F.length(x) / 4).cast("long")
     add = lambda a, b: a + b
-    zero = F.lit(0).cast("long")
+    zero, by = F.lit(0).cast("long"), by or []
     one = lambda e: tokens(e["signature"]) + F.coalesce(tokens(e["docstring"]), zero) + F.aggregate(F.transform(e["members"], lambda m: tokens(m["signature"])), zero, add)
-    per = files.join(parsed, "file").select(
-        "file", F.when(F.size("errors") == 0, tokens(F.col("content"))).otherwise(0).alias("original"), F.aggregate(F.transform("exports", one), zero, add).alias("distilled"), detect_language(F.col("file")).alias("language"), T.directory(F.col("file")).alias("directory")
+    sizes = files.select("file", tokens(F.col("content")).alias("tokens"))
+    small = parsed.select("file", *by, (F.size("errors") > 0).alias("failed"), F.aggregate(F.transform("exports", one), zero, add).alias("distilled"))
+    per = sizes.join(small, "file").select(
+        *by, F.when(F.col("failed"), 0).otherwise(F.col("tokens")).alias("original"), "distilled", detect_language(F.col("file")).alias("language"), T.directory(F.col("file")).alias("directory")
+    )
+    # by language first, so that one aggregate of few rows gives all
+    grouped = per.groupBy(*by, "language").agg(
+        F.count("*").alias("n"), F.collect_set(F.nullif("directory", F.lit(""))).alias("folders"), F.sum("original").alias("original"), F.sum("distilled").alias("distilled")
+    )
+    counted = F.array_sort(F.collect_list(F.when(F.col("language").isNotNull(), F.struct("language", "n"))))
+    totals = grouped.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), zero).alias("file_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("folders")))).alias("directories"),
+        F.coalesce(F.sum("original"), zero).cast("long").alias("original_tokens"),
+        F.coalesce(F.sum("distilled"), zero).cast("long").alias("distilled_tokens"),
+        F.map_from_entries(counted).alias("languages"),
     )
-    totals = per.agg(F.count("*").alias("file_count"), F.array_sort(F.collect_set(F.nullif("directory", F.lit("")))).alias("directories"), F.coalesce(F.sum("original"), F.lit(0)).cast("long").alias("original_tokens"), F.coalesce(F.sum("distilled"), F.lit(0)).cast("long").alias("distilled_tokens"))
-    counts = per.where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
     o, d = F.col("original_tokens"), F.col("distilled_tokens")
-    return totals.crossJoin(F.broadcast(counts)).withColumn("compression_ratio", F.when(o > 0, T.js_round((o - d) * 100.0 / o)).otherwise(0))
+    return totals.withColumn("compression_ratio", F.when(o > 0, T.js_round((o - d) * 100.0 / o)).otherwise(0))
 
 
 def dry_run(files: DataFrame, share: float = 0.09) -> DataFrame:
@@ -77,14 +90,28 @@ def distill(files: DataFrame, options: DistillOptions | None = None) -> DataFram
     options = options or DistillOptions()
     picked = pick(files, options)
     parsed = parse(picked, options)
-    if options.format == "txt":
-        return render.distill_txt(parsed, options.private, options.docstrings)
-    if options.format == "md":
-        return render.distill_md(parsed, options.private)
-    return render.distill_json(parsed, metrics(picked, parsed), options.private, options.docstrings)
+    renderer = FORMATS.get(options.format) or FORMATS.default()
+    return renderer(picked, parsed, options)
+
+
+#: What distill can write; more can be registered as (files, parsed, options) -> documents.
+FORMATS = render.Formats(default="txt")
+FORMATS.register("txt", lambda files, parsed, o: render.distill_txt(parsed, o.private, o.docstrings))
+FORMATS.register("md", lambda files, parsed, o: render.distill_md(parsed, o.private))
+FORMATS.register("json", lambda files, parsed, o: render.distill_json(parsed, metrics(files, parsed), o.private, o.docstrings))
+
+
+def scan(spark: SparkSession, path: str, options: DistillOptions | None = None) -> DataFrame:
+    """The files of a folder that distill works on, or the one file: all depths, dotfiles and whatever .gitignore says
+    included; only the patterns and the default excludes count."""
+    options = options or DistillOptions()
+    exclude = globs.distill_excludes(include_tests=globs.wants_tests(options.include)) + options.exclude
+    plain = [p for p in exclude if not p.startswith("!")]
+    return corpus(spark, path, dialect="full", include=",".join(options.include), exclude=",".join(plain), gitignore="false", text_only="false", follow_links="true", max_depth="1000000")
 
 
 def corpus(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The scanner of combine: .gitignore, a look at the text and a greatest depth, unless options say otherwise."""
     from ..sources.corpus import CorpusSource
 
     spark.dataSource.register(CorpusSource)

@@ -6,11 +6,14 @@ the blocks of one document together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.languages import combine_fence, extract_fence, syntax_language
+from ..schemas import Metadata
 
 TYPE_ORDER = ("interface", "class", "function", "type", "const", "enum")
 
@@ -26,17 +29,22 @@ def lines(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def framed(head: str, blocks: DataFrame, foot: str) -> DataFrame:
-    """The blocks' document between two fixed texts."""
-    body = document(blocks)
+def framed(head: str, blocks: DataFrame, foot: str, by: list[str] | None = None) -> DataFrame:
+    """The blocks' document between two fixed texts, or one for each group of ``by``."""
+    body = document(blocks, by)
     inner = F.when(F.col("document") == "", "").otherwise(F.concat(F.col("document"), F.lit("\n")))
-    return body.select(F.concat(F.lit(head), inner, F.lit(foot)).alias("document"))
+    return body.select(*(by or []), F.concat(F.lit(head), inner, F.lit(foot)).alias("document"))
+
+
+def ordered(item: Column) -> Column:
+    """An aggregate: the items as an array, by ord."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x["item"])
 
 
 # -- extract: changes with full_content
 
 
-def extract_txt(changes: DataFrame) -> DataFrame:
+def extract_txt(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
     full = lines(F.concat(F.lit('      <content language="'), T.escape_xml(extract_fence(F.col("file"))), F.lit('">')), F.concat(F.lit("<![CDATA["), F.col("full_content"), F.lit("]]>")), "      </content>")
     diff = lines("      <diff>", F.concat(F.lit("<![CDATA["), T.format_diff(F.col("diff")), F.lit("]]>")), "      </diff>")
     tag = lambda name, value: F.concat(F.lit(f"      <{name}>"), value, F.lit(f"</{name}>"))
@@ -50,17 +58,37 @@ def extract_txt(changes: DataFrame) -> DataFrame:
         F.when(F.col("full_content").isNotNull(), full).when(F.col("diff") != "", diff),
         "    </file>",
     )
-    return framed("<code_context>\n  <changes>\n", changes.select("ord", block.alias("block")), "  </changes>\n</code_context>")
+    return framed("<code_context>\n  <changes>\n", changes.select("ord", block.alias("block"), *(by or [])), "  </changes>\n</code_context>", by)
 
 
-def extract_md(changes: DataFrame, scope: DataFrame, metadata: str | None = None) -> DataFrame:
+def extract_md(changes: DataFrame, scope: DataFrame, metadata: str | Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """``scope`` is a row, or one for each group of ``by``; a metadata expression may use its columns."""
     renamed = F.when(F.col("status") == "renamed", F.concat(F.lit(" (renamed from "), F.col("old_file"), F.lit(")"))).otherwise("")
     fence = F.when(F.col("full_content").isNotNull(), lines(F.concat(F.lit("```"), extract_fence(F.col("file"))), F.col("full_content"), "```")).when(F.col("diff") != "", lines("```diff", T.format_diff(F.col("diff")), "```"))
     block = lines("", F.concat(F.lit("### "), F.col("file"), renamed), fence)
-    body = document(changes.select("ord", block.alias("block")))
+    body = document(changes.select("ord", block.alias("block"), *(by or [])), by)
     summary = F.format_string("## Scope\n- **Files Changed:** %d\n- **Lines:** +%d -%d", "files_changed", "lines_added", "lines_deleted")
-    whole = F.concat_ws("\n\n", F.lit(metadata), summary, F.when(F.col("files_changed") > 0, F.concat(F.lit("## Changes\n"), F.col("document"))))
-    return body.crossJoin(F.broadcast(scope)).select(whole.alias("document"))  # one row each
+    whole = F.concat_ws("\n\n", metadata if isinstance(metadata, Column) else F.lit(metadata), summary, F.when(F.col("files_changed") > 0, F.concat(F.lit("## Changes\n"), F.col("document"))))
+    both = body.join(scope, by) if by else body.crossJoin(F.broadcast(scope))  # one row each
+    return both.select(*(by or []), whole.alias("document"))
+
+
+def metadata_column(m: Metadata, tokens: Column) -> Column:
+    """The metadata section, with a token count of the same row."""
+    before, after = metadata_md(m.repository, m.branch, m.commit, m.generated, m.method, 0, f"{m.tool} Version:** {m.version}", m.path, m.types).split("~0")
+    return F.concat(F.lit(before + "~"), F.format_number(tokens, 0), F.lit(after.removesuffix("**")))
+
+
+def metadata_struct(m: Metadata, tokens: Column) -> Column:
+    text = lambda x: F.lit(x).cast("string")
+    filters = F.struct(text(m.path).alias("path"), (F.array(*map(F.lit, m.types)) if m.types else F.lit(None).cast("array<string>")).alias("type"))
+    return F.struct(
+        text(m.generated).alias("generated"),
+        F.struct(text(m.repository).alias("name"), text(m.branch).alias("branch"), text(m.commit).alias("commit")).alias("repository"),
+        F.struct(text(m.method).alias("method"), (filters if m.path or m.types else F.lit(None).cast("struct<path:string,type:array<string>>")).alias("filters")).alias("extraction"),
+        F.struct(tokens.alias("estimated")).alias("tokens"),
+        F.struct(text(m.tool).alias("name"), text(m.version).alias("version")).alias("tool"),
+    )
 
 
 def metadata_md(repository: str, branch: str, commit: str, generated: str, method: str, tokens: int, tool: str, path: str | None = None, types: list[str] | None = None) -> str:
@@ -70,11 +98,13 @@ def metadata_md(repository: str, branch: str, commit: str, generated: str, metho
     return "\n".join([*out, f"- **Estimated Tokens:** ~{tokens:,}", f"- **{tool}**"])
 
 
-def extract_json(changes: DataFrame, scope: DataFrame) -> DataFrame:
+def extract_json(changes: DataFrame, scope: DataFrame, metadata: Column | None = None, by: list[str] | None = None) -> DataFrame:
     item = F.struct("file", "status", "additions", "deletions", F.col("old_file").alias("oldFile"), "diff", F.col("full_content").alias("fullContent"))
-    items = changes.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x["item"]).alias("changes"))
+    items = changes.groupBy(*(by or [])).agg(ordered(item).alias("changes"))
     total = F.struct(F.col("files_changed").alias("filesChanged"), F.col("functions_modified").alias("functionsModified"), F.col("lines_added").alias("linesAdded"), F.col("lines_deleted").alias("linesDeleted"))
-    return items.crossJoin(F.broadcast(scope)).select(F.to_json(F.struct(total.alias("scope"), "changes")).alias("document"))
+    both = items.join(scope, by) if by else items.crossJoin(F.broadcast(scope))
+    more = [metadata.alias("metadata")] if metadata is not None else []
+    return both.select(*(by or []), F.to_json(F.struct(total.alias("scope"), "changes", *more)).alias("document"))
 
 
 # -- combine: file, content, ord (and diff, where the content may be missing)
@@ -90,22 +120,22 @@ def combine_txt_blocks(files: DataFrame) -> DataFrame:
     return files.withColumn("block", block)
 
 
-def combine_txt(files: DataFrame) -> DataFrame:
-    return framed("<code_context>\n\n", combine_txt_blocks(files).select("ord", "block"), "</code_context>")
+def combine_txt(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return framed("<code_context>\n\n", combine_txt_blocks(files).select("ord", "block", *(by or [])), "</code_context>", by)
 
 
-def combine_md(files: DataFrame) -> DataFrame:
+def combine_md(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     block = lines(F.concat(F.lit("## "), F.col("file")), "", F.concat(F.lit("```"), combine_fence(F.col("file"))), shown(files), "```", "")
-    return framed("# Code Context\n\n", files.select("ord", block.alias("block")), "")
+    return framed("# Code Context\n\n", files.select("ord", block.alias("block"), *(by or [])), "", by)
 
 
-def combine_json(files: DataFrame) -> DataFrame:
+def combine_json(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     item = F.struct(F.col("file").alias("path"), "status", F.coalesce(shown(files), F.lit("")).alias("content"), "additions", "deletions")
-    both = files.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x["item"]).alias("files"),
+    both = files.groupBy(*(by or [])).agg(
+        ordered(item).alias("files"),
         F.struct(F.count("*").alias("totalFiles"), F.coalesce(F.sum("additions"), F.lit(0)).alias("totalAdditions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("totalDeletions")).alias("metadata"),
     )
-    return both.select(F.to_json(F.struct("files", "metadata")).alias("document"))
+    return both.select(*(by or []), F.to_json(F.struct("files", "metadata")).alias("document"))
 
 
 # -- distill: parsed files
@@ -153,29 +183,87 @@ def distill_txt(parsed: DataFrame, private: bool = False, docstrings: bool = Tru
     return document(parsed.select(F.struct(folder.alias("d"), F.col("file")).alias("ord"), block.alias("block"), *(by or [])), by).select(*(by or []), F.trim(F.regexp_replace("document", r"\s+$", "")).alias("document"))
 
 
-def distill_md(parsed: DataFrame, private: bool = False, imports: bool = True) -> DataFrame:
+def distill_md(parsed: DataFrame, private: bool = False, imports: bool = True, by: list[str] | None = None) -> DataFrame:
     signatures = F.array_join(F.transform(visible(private), lambda e: F.concat(e["signature"], F.lit("\n"))), "")
     block = F.concat(F.lit("## "), F.col("file"), F.lit("\n\n```"), syntax_language(F.col("file")), F.lit("\n"), import_lines(F.col("imports")) if imports else F.lit(""), signatures, F.lit("```\n"))
-    return document(parsed.select(F.col("file").alias("ord"), block.alias("block"))).select(F.regexp_replace("document", r"\s+$", "").alias("document"))
+    return document(parsed.select(F.col("file").alias("ord"), block.alias("block"), *(by or [])), by).select(*(by or []), F.regexp_replace("document", r"\s+$", "").alias("document"))
 
 
-def distill_json(parsed: DataFrame, metrics: DataFrame, private: bool = False, docstrings: bool = False) -> DataFrame:
+def distill_json(parsed: DataFrame, metrics: DataFrame, private: bool = False, docstrings: bool = False, by: list[str] | None = None) -> DataFrame:
     export = lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["signature"].alias("signature"), e["visibility"].alias("visibility"), (e["docstring"] if docstrings else F.lit(None).cast("string")).alias("docstring"), F.when(F.size(e["members"]) > 0, e["members"]).alias("members"))
     item = F.struct(F.col("file").alias("path"), F.when(F.size("imports") > 0, F.transform("imports", lambda i: i["source"])).alias("imports"), F.transform(visible(private), export).alias("exports"))
-    files = parsed.agg(F.transform(F.array_sort(F.collect_list(F.struct("file", item.alias("item")))), lambda x: x["item"]).alias("files"))
+    files = parsed.withColumn("ord", F.col("file")).groupBy(*(by or [])).agg(ordered(item).alias("files"))
     meta = F.struct(F.col("file_count").alias("fileCount"), F.col("original_tokens").alias("originalTokens"), F.col("distilled_tokens").alias("distilledTokens"), F.col("compression_ratio").alias("compressionRatio"), "languages")
-    return files.crossJoin(F.broadcast(metrics)).select(F.to_json(F.struct("files", meta.alias("metadata"))).alias("document"))
+    both = files.join(metrics, by) if by else files.crossJoin(F.broadcast(metrics))
+    return both.select(*(by or []), F.to_json(F.struct("files", meta.alias("metadata"))).alias("document"))
 
 
 # -- compressed files: file, content, language
 
 
-def compression_txt(files: DataFrame) -> DataFrame:
+def compression_txt(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     language = F.when(F.col("language").isNotNull(), F.concat(F.lit(' language="'), F.col("language"), F.lit('"'))).otherwise("")
     block = F.concat(F.lit('<file path="'), F.col("file"), F.lit('"'), language, F.lit(">\n"), F.col("content"), F.lit("\n</file>\n"))
-    return document(files.select("ord", block.alias("block"))).select(F.regexp_replace("document", r"\s+$", "").alias("document"))
+    return document(files.select("ord", block.alias("block"), *(by or [])), by).select(*(by or []), F.regexp_replace("document", r"\s+$", "").alias("document"))
+
+
+def compression_md(files: DataFrame, metadata: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Files (file, size, hash, language, content, ord) under headings, with their number and size before them."""
+    block = F.concat(F.lit("## "), "file", F.lit("\n\n```"), F.coalesce("language", F.lit("txt")), F.lit("\n"), "content", F.lit("\n```\n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("block")))), lambda x: x["block"]), "\n")
+    both = files.groupBy(*(by or [])).agg(joined.alias("body"), F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"))
+    summary = F.concat(F.lit("**Total Files:** "), F.col("n").cast("string"), F.lit("\n**Total Size:** "), F.format_number("size", 0), F.lit(" bytes\n\n")) if metadata else F.lit("")
+    return both.select(*(by or []), F.regexp_replace(F.concat(F.lit("# Compressed Files\n\n"), summary, "body"), r"\s+$", "").alias("document"))
+
+
+def compression_json(files: DataFrame, metadata: bool = True, by: list[str] | None = None) -> DataFrame:
+    item = F.struct(F.col("file").alias("path"), "size", "hash", "language", "content")
+    total = F.struct(F.count("*").alias("totalFiles"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("totalSize"))
+    both = files.groupBy(*(by or [])).agg(ordered(item).alias("files"), total.alias("metadata"))
+    return both.select(*(by or []), F.to_json(F.struct("files", *(["metadata"] if metadata else []))).alias("document"))
+
+
+def _beside(a: DataFrame, b: DataFrame, whole: Column, by: list[str] | None) -> DataFrame:
+    b = b.withColumnRenamed("document", "d")
+    both = a.join(b, by) if by else a.crossJoin(F.broadcast(b))  # one row each
+    return both.select(*(by or []), whole.alias("document"))
+
+
+def combined_txt(files: DataFrame, parsed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return _beside(compression_txt(files, by), distill_txt(parsed, by=by), F.concat_ws("\n\n---\n\n", "document", "d"), by)
+
+
+def combined_md(files: DataFrame, parsed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return _beside(compression_md(files, by=by), distill_md(parsed, by=by), F.concat_ws("\n\n---\n\n", "document", "d"), by)
+
+
+def combined_json(files: DataFrame, parsed: DataFrame, metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    whole = F.concat(F.lit('{"compression":'), "document", F.lit(',"distillation":'), "d", F.lit("}"))
+    return _beside(compression_json(files, by=by), distill_json(parsed, metrics, by=by), whole, by)
+
+
+class Formats:
+    """Renderers by the name of their format, one of them the default."""
+
+    def __init__(self, default: str):
+        self._renderers: dict[str, Callable[..., DataFrame]] = {}
+        self._default = default
+
+    def register(self, name: str, renderer: Callable[..., DataFrame]) -> None:
+        self._renderers[name] = renderer
+
+    def get(self, name: str) -> Callable[..., DataFrame] | None:
+        return self._renderers.get(name)
+
+    def default(self) -> Callable[..., DataFrame]:
+        if self._default not in self._renderers:
+            raise ValueError(f"the default format {self._default!r} is not registered")
+        return self._renderers[self._default]
 
+    def set_default(self, name: str) -> None:
+        if name not in self._renderers:
+            raise ValueError(f"format {name!r} is not registered")
+        self._default = name
 
-def combined_txt(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    a, b = compression_txt(files), distill_txt(parsed).withColumnRenamed("document", "d")
-    return a.crossJoin(F.broadcast(b)).select(F.concat_ws("\n\n---\n\n", "document", "d").alias("document"))
+    def names(self) -> list[str]:
+        return list(self._renderers)

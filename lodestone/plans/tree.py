@@ -75,39 +75,44 @@ def tree_by_file(symbols: DataFrame, root: str = ".", options: TreeOptions | Non
     return body.select(F.concat_ws("\n", F.lit(root), F.nullif("document", F.lit(""))).alias("document"))
 
 
-def tree_by_type(symbols: DataFrame, options: TreeOptions | None = None) -> DataFrame:
+def tree_by_type(symbols: DataFrame, options: TreeOptions | None = None, by: list[str] | None = None) -> DataFrame:
+    """One document, or one for each group of ``by``."""
+    by = by or []
     options = options or TreeOptions(group_by="type")
     rows = visible(symbols, options)
     order = [F.col("name"), F.col("file"), F.col("ord")]
-    line = F.concat(branch(is_last("type", order=order)), label(options.show_types), F.lit(" "), F.col("file"), private_mark())
-    groups = rows.withColumn("line", line).groupBy("type").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("name", "file", "ord", "line"))), lambda x: x["line"]).alias("lines"))
+    line = F.concat(branch(is_last(*by, "type", order=order)), label(options.show_types), F.lit(" "), F.col("file"), private_mark())
+    groups = rows.withColumn("line", line).groupBy(*by, "type").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("name", "file", "ord", "line"))), lambda x: x["line"]).alias("lines"))
     at = rank(GROUP_ORDER)
-    groups = groups.withColumns({"r": at, "last": F.lead(F.lit(1)).over(W.orderBy(at, "type")).isNull()})  # one row a type
+    groups = groups.withColumns({"r": at, "last": F.lead(F.lit(1)).over(W.partitionBy(*by).orderBy(at, "type")).isNull()})  # one row a type
     head = F.format_string("%s%s (%d)", branch(F.col("last")), F.upper("type"), "n")
     text = F.concat_ws("\n", F.array(head), F.transform("lines", lambda x: F.concat(stem(F.col("last")), x)), F.when(~F.col("last"), F.array(F.lit("│"))))
-    body = document(groups.select(F.struct("r", "type").alias("ord"), text.alias("block")))
-    return body.select(F.concat_ws("\n", F.lit("APIs by Type"), F.nullif("document", F.lit(""))).alias("document"))
+    body = document(groups.select(F.struct("r", "type").alias("ord"), text.alias("block"), *by), by)
+    return body.select(*by, F.concat_ws("\n", F.lit("APIs by Type"), F.nullif("document", F.lit(""))).alias("document"))
 
 
-def tree_flat(symbols: DataFrame, options: TreeOptions | None = None) -> DataFrame:
-    """One line a symbol. The document is one text, so its lines' order is taken in one task."""
+def tree_flat(symbols: DataFrame, options: TreeOptions | None = None, by: list[str] | None = None) -> DataFrame:
+    """One line a symbol, in one document or in one for each group of ``by``. A document is one text, so its lines' order is
+    taken in one task."""
+    by = by or []
     options = options or TreeOptions(group_by="none")
     rows = visible(symbols, options)
     none = F.array().cast("array<string>")
-    keyed = rows.select(F.struct(rank(FLAT_ORDER).alias("r"), "type", "name", "file", "ord", F.concat(label(options.show_types), F.lit(" "), "file", private_mark()).alias("text"), F.when(F.col("docstring") != "", T.preview(F.col("docstring"), 100)).alias("doc")).alias("s"))
-    whole = keyed.agg(F.array_sort(F.collect_list("s")).alias("all"))
+    keyed = rows.select(*by, F.struct(rank(FLAT_ORDER).alias("r"), "type", "name", "file", "ord", F.concat(label(options.show_types), F.lit(" "), "file", private_mark()).alias("text"), F.when(F.col("docstring") != "", T.preview(F.col("docstring"), 100)).alias("doc")).alias("s"))
+    whole = keyed.groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("all"))
     one = lambda s, last: F.concat(F.array(F.concat(branch(last), s["text"])), F.when(s["doc"].isNotNull(), F.array(F.concat(stem(last), s["doc"]))).otherwise(none))
     lines = F.flatten(F.transform("all", lambda s, i: one(s, i == F.size("all") - 1)))
-    return whole.select(F.array_join(F.concat(F.array(F.lit("All APIs")), lines), "\n").alias("document"))
+    return whole.select(*by, F.array_join(F.concat(F.array(F.lit("All APIs")), lines), "\n").alias("document"))
 
 
-def outline(symbols: DataFrame, options: TreeOptions | None = None) -> DataFrame:
+def outline(symbols: DataFrame, options: TreeOptions | None = None, by: list[str] | None = None) -> DataFrame:
     """Markdown: a heading a file, a bullet a symbol."""
+    by = by or []
     options = options or TreeOptions()
     rows = visible(symbols, options)
     bullet = F.concat(F.lit("- "), label(options.show_types), private_mark())
-    files = document(rows.select("file", F.struct(rank(FLAT_ORDER).alias("r"), "type", "name", "ord").alias("ord"), bullet.alias("block")), by=["file"])
-    return document(files.select(F.col("file").alias("ord"), F.concat(F.lit("## "), "file", F.lit("\n\n"), "document", F.lit("\n")).alias("block")))
+    files = document(rows.select("file", *by, F.struct(rank(FLAT_ORDER).alias("r"), "type", "name", "ord").alias("ord"), bullet.alias("block")), by=["file", *by])
+    return document(files.select(F.col("file").alias("ord"), F.concat(F.lit("## "), "file", F.lit("\n\n"), "document", F.lit("\n")).alias("block"), *by), by)
 
 
 def tree(symbols: DataFrame, root: str = ".", options: TreeOptions | None = None) -> DataFrame:

@@ -22,6 +22,30 @@ def check_format(fmt: str) -> str:
     return fmt
 
 
+def check_order(sort_by: str | None, sort_order: str, filter_by: str = "all") -> None:
+    if sort_by not in (None, "name", "updated", "size", "status"):
+        raise ValueError(f"unknown order {sort_by!r}")
+    if sort_order not in ("asc", "desc"):
+        raise ValueError(f"unknown direction {sort_order!r}")
+    if filter_by not in ("all", "staged", "unstaged", "untracked", *STATUSES[:3]):
+        raise ValueError(f"unknown filter {filter_by!r}")
+
+
+@dataclass
+class Metadata:
+    """What an extract says about itself; the estimated tokens are added from its rows."""
+
+    generated: str
+    repository: str
+    branch: str
+    commit: str
+    method: str
+    path: str | None = None
+    types: list[str] = field(default_factory=list)
+    tool: str = "lodestone"
+    version: str = "0.2.0"
+
+
 @dataclass
 class ExtractOptions:
     range: str | None = None
@@ -33,10 +57,16 @@ class ExtractOptions:
     types: list[str] = field(default_factory=list)
     format: str = "txt"
     include_untracked: bool = False
+    untracked_pattern: str | None = None
+    selected_files: list[str] = field(default_factory=list)
     no_metadata: bool = False
+    sort_by: str | None = None
+    sort_order: str = "asc"
+    filter_by: str = "all"
 
     def __post_init__(self) -> None:
         check_format(self.format)
+        check_order(self.sort_by, self.sort_order, self.filter_by)
         if self.staged and self.all:
             raise ValueError("staged and all exclude each other")
 
@@ -63,10 +93,16 @@ class CombineOptions:
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     max_files: int = 1000
+    max_depth: int = 10
+    no_gitignore: bool = False
     format: str = "txt"
+    output: str | None = None
+    sort_by: str | None = None
+    sort_order: str = "asc"
 
     def __post_init__(self) -> None:
         check_format(self.format)
+        check_order(self.sort_by, self.sort_order)
 
 
 @dataclass

@@ -84,9 +84,16 @@ def scan(root: str, include: list[str] | None = None, exclude: list[str] | None
     out = Patterns([p for p in exclude or [] if not p.startswith("!")], dialect)
     ignored = Patterns(gitignore_patterns(root) if gitignore else [])
 
+    seen: set[str] = set()
+
     def walk(folder: str, depth: int) -> Iterator[str]:
         if depth > max_depth:
             return
+        if follow_links:  # a link may lead back to a folder above it
+            real = os.path.realpath(os.path.join(root, folder))
+            if real in seen:
+                return
+            seen.add(real)
         try:
             entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
         except OSError:
