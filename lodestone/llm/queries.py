@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, licenses, linededup, pieces, rules, sharding, tokenfile, urls
+from . import decontam, htmltext, jaccard, licenses, licensetexts, linededup, pieces, rules, sharding, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -66,6 +66,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
 
 
+def op6_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole notices in order, versions and variants apart."""
+    return licensetexts.scan_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_texts.*")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
@@ -201,6 +206,7 @@ QUERIES = {
     "op4_line_dedup_short": op4_line_dedup_short,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
+    "op6_license_texts": op6_license_texts,
     "op7_html_text": op7_html_text,
     "op8_shards": op8_shards,
     "op9_jaccard_join": op9_jaccard_join,
@@ -212,6 +218,7 @@ SQL = {
     "op4_line_dedup": _line_sql(),
     "op4_line_dedup_short": _line_sql(short=True),
     "op6_license_scan": _license_sql(),
+    "op6_license_texts": licensetexts.texts_sql(),
     "op9_jaccard_join": _jaccard_sql(),
     "op10_url_filter": _url_sql(),
 }
