@@ -52,6 +52,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Re
             i = j
 
 
+def column_of(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
+    """A table of one string column, without a Python worker."""
+    if not values:
+        return spark.range(0).select(F.lit("").alias(name))
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, column_of
 from .licenses import words
 
 # Notices as their licenses give them.
@@ -91,7 +91,7 @@ def own_shingles(notices: dict[str, str], width: int) -> dict[str, list[str]]:
 
 def shingle_hashes(spark: SparkSession, shingles: list[str]) -> dict[str, int]:
     """Of each shingle the hash that it has in texts; a row for each of the templates' shingles."""
-    rows = spark.createDataFrame([(s,) for s in shingles], "s string")
+    rows = column_of(spark, "s", shingles)
     return dict(rows.select("s", _hash([F.get(F.split("s", " "), k) for k in range(max((s.count(" ") for s in shingles), default=0) + 1)])).collect())
 
 

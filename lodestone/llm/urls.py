@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, delete, fresh, stored
+from .common import ascii_lower, column_of, delete, fresh, stored
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -169,7 +169,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], blocked: DataFrame | tuple[
     list is every host of the pages under one of them, its universe every host of the pages. If that needs over
     ``max_bits`` bits a level, hosts are looked up by a join with the list, with the same result."""
     spark, name = pages.sparkSession, fresh(pages, "listed_host")
-    domains = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(d,) for d in blocked], "domain string")
+    domains = blocked if isinstance(blocked, DataFrame) else column_of(spark, "domain", list(blocked))
     host, path = host_path(F.col("url"))
     hosts = pages.select(host.alias("key")).distinct()
     listed, _ = stored(hosts_under(hosts, domains), "listed")
