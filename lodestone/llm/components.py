@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame,
 
     Each round every root hooks to its smallest neighbour, pointers jump twice, and the edges are rewritten to roots;
     those inside a component vanish. Only tables on shared storage pass from round to round. Nothing is collected but
-    whether edges are left. A node with very many neighbours costs a partial aggregation, not a gathered list.
+    whether edges are left. A node with very many neighbours costs a partial aggregation, not a gathered list. Nodes
+    should be hashes, as those of the operators here are: a long chain of rising numbers sheds but three nodes a round.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
