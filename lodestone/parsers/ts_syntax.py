@@ -11,7 +11,7 @@ import re
 
 from ..operators.globs import name_matches
 from ..schemas import DistillOptions
-from . import Export, Import, Member, Parsed
+from . import Export, Import, Member, Parsed, ts_lines
 
 TOKEN = re.compile(
     r"(?P<space>\s+|//[^\n]*|/\*(?P<doc>.*?)\*/)|(?P<text>`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<name>[A-Za-z_$#@][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\.\.\.|\?\.|[{}()\[\]<>;,:=?!|&.+\-*/%^~@])", re.S
@@ -330,4 +330,8 @@ def literal_type(value: str, widen: bool = False) -> str:
 
 
 def parse(source: str, options: DistillOptions) -> Parsed:
-    return _Reader(source, options).read()
+    """A source that the reader cannot follow to its end is read by lines."""
+    try:
+        return _Reader(source, options).read()
+    except (IndexError, RecursionError):
+        return ts_lines.parse(source)
