@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, licenses, licensetexts, linededup, pieces, rules, sharding, tokenfile, urls
+from . import decontam, htmltext, jaccard, licenses, licensetexts, linededup, merkle, pieces, resampling, rules, sharding, simhash, tokenfile, urls
 from .common import scratch_path, table
 
 URL_RULES = [
@@ -94,6 +94,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES, BLOCKED_DOMAINS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = {"text": F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    docs = docs.withColumn("altered", merkle.leaf(*[tampered.get(f, F.col(f)) for f in merkle.FIELDS]))
+    proofs = merkle.proofs(spark, merkle.build(docs, carry=("altered",)))
+    folded = merkle.fold(F.col("proof"), F.col("altered"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def _url_sql() -> str:
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     longest = sorted(URL_RULES, key=lambda r: -len(r.name))
@@ -211,6 +231,9 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash": op12_simhash,
+    "op13_resampling": op13_resampling,
 }
 
 SQL = {
