@@ -136,10 +136,19 @@ def parse_files(files: DataFrame, options: DistillOptions | None = None) -> Data
 
 
 def _defaults() -> None:
-    from . import python_lines, ts_syntax
+    from . import python_lines, ts_lines, ts_syntax, ts_tree, ts_types
+
+    readers = {"declared": ts_syntax.parse, "written": ts_tree.parse, "inferred": ts_types.parse}
+
+    def typescript(source: str, options: DistillOptions) -> Parsed:
+        """A source that its reader cannot follow is read by lines."""
+        try:
+            return readers[options.types](source, options)
+        except Exception:  # noqa: BLE001  whatever a source holds
+            return ts_lines.parse(source)
 
     register(Language("python", (".py", ".pyi", ".pyw"), python_lines.parse))
-    register(Language("typescript", (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), ts_syntax.parse))
+    register(Language("typescript", (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), typescript))
 
 
 _defaults()

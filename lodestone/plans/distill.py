@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.languages import detect_language
 from ..operators import globs
 from ..schemas import DistillOptions
-from . import render
+from . import render, typing
 
 
 def compress(files: DataFrame) -> DataFrame:
@@ -25,9 +25,13 @@ def pick(files: DataFrame, options: DistillOptions) -> DataFrame:
 
 def parse(files: DataFrame, options: DistillOptions | None = None) -> DataFrame:
     """Files of a known language, parsed; others are left out."""
-    known = [e for name in parsers.registered() for e in parsers._languages[name].extensions]
+    known = {name: parsers._languages[name].extensions for name in parsers.registered()}
     ext = F.concat(F.lit("."), F.lower(F.substring_index("file", ".", -1)))
-    return parsers.parse_files(files.where(ext.isin(known)), options)
+    of = lambda *names: files.where(ext.isin([e for n in names for e in known[n]]))
+    if options is None or options.types != "inferred" or "typescript" not in known:
+        return parsers.parse_files(of(*known), options)
+    others = parsers.parse_files(of(*[n for n in known if n != "typescript"]), options)
+    return typing.infer(of("typescript"), options).unionByName(others)
 
 
 def symbols(parsed: DataFrame) -> DataFrame:

@@ -83,9 +83,14 @@ class DistillOptions:
     format: str = "txt"
     compat: bool = False
     """Drop docstrings from the symbols, as the distiller that this one follows does."""
+    types: str = "declared"
+    """TypeScript: ``declared`` types and those of literals, the declarations as ``written``, nested ones included, or
+    ``inferred`` ones, over all files together."""
 
     def __post_init__(self) -> None:
         check_format(self.format)
+        if self.types not in ("declared", "written", "inferred"):
+            raise ValueError(f"unknown types {self.types!r}")
 
 
 @dataclass
