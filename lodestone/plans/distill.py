@@ -115,8 +115,10 @@ def scan(spark: SparkSession, path: str, options: DistillOptions | None = None)
 
 
 def corpus(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The scanner of combine: .gitignore, a look at the text and a greatest depth, unless options say otherwise."""
+    """The scanner of combine: .gitignore, a look at the text and a greatest depth, unless options say otherwise. Where the
+    session has spark.sql.python.filterPushdown.enabled, conditions on file, size and last_modified reach the scanner."""
     from ..sources.corpus import CorpusSource
 
     spark.dataSource.register(CorpusSource)
+    options.setdefault("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     return spark.read.format("corpus").options(path=path, **options).load()

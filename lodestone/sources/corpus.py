@@ -5,19 +5,27 @@ sources leave out.
     spark.read.format("corpus").option("path", root).load()
 
 Options: path (a folder or one file), include and exclude (patterns, comma-separated), dialect (scanner, base or
-full), gitignore (true), text_only (true), follow_links (false), max_depth (10), max_files (none). Without the content
-column in use set content=false, and no file is read but for sniffing. The driver lists names; executors read, in
-partitions of ``files_per_partition`` files, so the folder must be one that all of them see.
+full), gitignore (true), text_only (true), follow_links (false), max_depth (10), max_files (none), pushdown (false).
+Without the content column in use set content=false, and no file is read but for sniffing. The driver lists names; executors
+read, in partitions of ``files_per_partition`` files, so the folder must be one that all of them see; sources.listing lists
+in tasks.
+
+With pushdown, and Spark's setting spark.sql.python.filterPushdown.enabled, conditions on file, size and last_modified are
+decided by the source: folders that hold no wanted file are not entered, and a file that is not wanted is never opened.
+max_files is then a limit on the wanted files.
 """
 
 from __future__ import annotations
 
 import datetime
+import operator
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
+)
 from pyspark.sql.types import StructType
 
 from ..operators.globs import scanner_regex, standard_regex
@@ -75,10 +83,59 @@ class Patterns:
         return any(path == p or path.startswith(p + "/") or base == p for p in self.plain)
 
 
-def scan(root: str, include: list[str] | None = None, exclude: list[str] | None = None, dialect: str = "scanner", gitignore: bool = True, follow_links: bool = False, max_depth: int = 10, text_only: bool = True) -> Iterator[str]:
+#: What each pushed condition says of a value and the condition's own.
+CONDITIONS = {
+    EqualTo: operator.eq, EqualNullSafe: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le,
+    In: lambda v, among: v in among, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: lambda v, part: part in v,
+}
+
+
+class Wanted:
+    """Conditions on a file's relative path, size and time, decided before it is opened."""
+
+    COLUMNS = ("file", "size", "last_modified")
+
+    def __init__(self) -> None:
+        self.filters: list[Filter] = []
+
+    def take(self, f: Filter) -> bool:
+        """Keeps a condition that can be decided here; whether it was one."""
+        inner = f.child if isinstance(f, Not) else f
+        known = type(inner) in CONDITIONS or isinstance(inner, IsNotNull)
+        if known and len(inner.attribute) == 1 and inner.attribute[0] in self.COLUMNS and (isinstance(inner, IsNotNull) or inner.value is not None):
+            self.filters.append(f)
+            return True
+        return False
+
+    def allows(self, column: str, value: object) -> bool:
+        for f in self.filters:
+            inner = f.child if isinstance(f, Not) else f
+            if inner.attribute[0] != column:
+                continue
+            said = True if isinstance(inner, IsNotNull) else CONDITIONS[type(inner)](value, inner.value)
+            if said == isinstance(f, Not):
+                return False
+        return True
+
+    def enters(self, folder: str) -> bool:
+        """Whether a folder may hold a file whose path is allowed."""
+        inside = folder + "/"
+        for f in self.filters:
+            if isinstance(f, EqualTo | EqualNullSafe) and f.attribute[0] == "file" and not f.value.startswith(inside):
+                return False
+            if isinstance(f, In) and f.attribute[0] == "file" and not any(v.startswith(inside) for v in f.value):
+                return False
+            if isinstance(f, StringStartsWith) and f.attribute[0] == "file" and not (f.value.startswith(inside) or inside.startswith(f.value)):
+                return False
+        return True
+
+
+def scan(root: str, include: list[str] | None = None, exclude: list[str] | None = None, dialect: str = "scanner", gitignore: bool = True, follow_links: bool = False, max_depth: int = 10, text_only: bool = True, only: Wanted | None = None) -> Iterator[str]:
     """Relative paths, in order. Folders that are left out are not entered."""
+    only = only or Wanted()
     if os.path.isfile(root):
-        yield os.path.basename(root)
+        if only.allows("file", os.path.basename(root)):
+            yield os.path.basename(root)
         return
     wanted = Patterns(include or [], dialect)
     out = Patterns([p for p in exclude or [] if not p.startswith("!")], dialect)
@@ -103,9 +160,17 @@ def scan(root: str, include: list[str] | None = None, exclude: list[str] | None
             if e.is_symlink() and not follow_links or ignored.match(path) or out.match(path):
                 continue
             if e.is_dir():
-                yield from walk(path, depth + 1)
-            elif not wanted or wanted.match(path):
-                if text_only:
+                if only.enters(path):
+                    yield from walk(path, depth + 1)
+            elif only.allows("file", path) and (not wanted or wanted.match(path)):
+                if only.filters:
+                    try:
+                        stat = e.stat()
+                    except OSError:
+                        continue
+                    if not (only.allows("size", stat.st_size) and only.allows("last_modified", modified(stat))):
+                        continue
+                if text_only and not is_text(e.name, b""):
                     try:
                         with open(e.path, "rb") as f:
                             if not is_text(e.name, f.read(1024)):
@@ -117,6 +182,10 @@ def scan(root: str, include: list[str] | None = None, exclude: list[str] | None
     yield from walk("", 0)
 
 
+def modified(stat: os.stat_result) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(stat.st_mtime, datetime.UTC)
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(0)
@@ -133,9 +202,11 @@ class CorpusReader(DataSourceReader):
         self.limit = int(options["max_files"]) if "max_files" in options else None
         self.how = {"include": split("include"), "exclude": split("exclude"), "dialect": get("dialect", "scanner"), "gitignore": yes("gitignore", "true"), "follow_links": yes("follow_links", "false"), "max_depth": int(get("max_depth", 10)), "text_only": yes("text_only", "true")}
 
+        self.only = Wanted()
+
     def partitions(self) -> list[InputPartition]:
         paths = []
-        for p in scan(self.root, **self.how):
+        for p in scan(self.root, **self.how, only=self.only):
             if self.limit is not None and len(paths) >= self.limit:
                 break
             paths.append(p)
@@ -147,13 +218,24 @@ class CorpusReader(DataSourceReader):
             full = os.path.join(base, rel)
             try:
                 stat = os.stat(full)
+                if not (self.only.allows("size", stat.st_size) and self.only.allows("last_modified", modified(stat))):
+                    continue
                 data = None
                 if self.content:
                     with open(full, "rb") as f:
                         data = f.read().decode("utf-8", "replace")
             except OSError:
                 continue  # gone since it was listed
-            yield full, rel, stat.st_size, datetime.datetime.fromtimestamp(stat.st_mtime, datetime.UTC), data
+            yield full, rel, stat.st_size, modified(stat), data
+
+
+class PushingReader(CorpusReader):
+    """Decides conditions itself. Spark asks for its setting wherever a reader could."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if not self.only.take(f):
+                yield f
 
 
 class CorpusSource(DataSource):
@@ -165,4 +247,5 @@ class CorpusSource(DataSource):
         return "path string, file string, size bigint, last_modified timestamp, content string"
 
     def reader(self, schema: StructType) -> CorpusReader:
-        return CorpusReader(dict(self.options))
+        options = dict(self.options)
+        return (PushingReader if options.get("pushdown", "false").lower() == "true" else CorpusReader)(options)
