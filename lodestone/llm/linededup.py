@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct ``width``-word shingles (words between white space, A-Z lower-cased). With ``short`` a
-line of fewer words has one token, all its words in a row; without, it has none and always stays. Lines without words
+A line's tokens are its distinct ``width``-word shingles (words between white space, A-Z lower-cased). A line of fewer
+words has one token, all its words in a row; with ``short=False`` it has none and always stays. Lines without words
 always stay. A line is removed if any line before it, in the order of (doc_id, text hash,
 line number), has a Jaccard similarity of at least ``percent`` / 100 to it. Whether that earlier line itself stays
 does not matter, so the result does not depend on an order of work.
@@ -150,7 +150,7 @@ def set_table(lines: DataFrame, *key: str) -> DataFrame:
     return found.select(*key, "n", "copies", "chk", "other", "at.*")
 
 
-def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, short: bool = False, sig_bits: int = 64) -> tuple[DataFrame, str]:
+def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, short: bool = True, sig_bits: int = 64) -> tuple[DataFrame, str]:
     """(doc_id, tie, lines): by document, the numbers (from 0) of its lines that an earlier line matches; stored."""
     spark, kind = docs.sparkSession, Shingling(width, short, True, sig_bits)
     small_batches(spark)
@@ -204,7 +204,7 @@ def removed_lines(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bit
     return kept
 
 
-def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str | None = None, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80, counts: str | None = None, short: bool = True) -> DataFrame:
     """docs' columns in their order, text without its removed lines; with ``counts``, a struct of that name with
     n_lines and n_removed after them."""
     removed, _ = removed_lines(docs, width, percent, short=short)

@@ -44,9 +44,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 1 to 4 words are compared too."""
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts="lines", short=True)
-    return kept.select("doc_id", "lines.*", "text")
+    """The same as op4_line_dedup, from when that one left lines of 1 to 4 words alone."""
+    return op4_line_dedup(spark, sf_dir)
 
 
 def tokenizer_path(name: str) -> str:
@@ -187,13 +186,13 @@ def _word_sql(text: str) -> str:
 SHINGLE_SQL = "list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))"
 
 
-def _line_sql(percent: int = 80, short: bool = False) -> str:
-    least, shingles = (1, f"CASE WHEN len(w) >= 5 THEN {SHINGLE_SQL} ELSE [k] END") if short else (5, SHINGLE_SQL)
+def _line_sql(percent: int = 80) -> str:
+    shingles = f"CASE WHEN len(w) >= 5 THEN {SHINGLE_SQL} ELSE [k] END"
     return f"""
         WITH lines AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
         words AS (SELECT doc_id, t, line, {_word_sql("t")} AS w FROM lines),
         keyed AS (SELECT doc_id, t, line, w, array_to_string(w, ' ') AS k FROM words),
-        sets AS (SELECT k, min({{'d': doc_id, 'l': line}}) AS first, any_value(w) AS w FROM keyed WHERE len(w) >= {least} GROUP BY k),
+        sets AS (SELECT k, min({{'d': doc_id, 'l': line}}) AS first, any_value(w) AS w FROM keyed WHERE len(w) > 0 GROUP BY k),
         tokens AS (SELECT k, unnest({shingles}) AS s FROM sets),
         sizes AS (SELECT k, count(*) AS n FROM tokens GROUP BY k),
         common AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM tokens a JOIN tokens b USING (s) GROUP BY ALL),
@@ -239,7 +238,7 @@ QUERIES = {
 SQL = {
     "op1_decontamination": _leak_sql(),
     "op4_line_dedup": _line_sql(),
-    "op4_line_dedup_short": _line_sql(short=True),
+    "op4_line_dedup_short": _line_sql(),
     "op6_license_scan": _license_sql(),
     "op6_license_texts": licensetexts.texts_sql(),
     "op9_jaccard_join": _jaccard_sql(),
