@@ -2,8 +2,9 @@
 
 Each stage works on all rows that its predecessor kept. All but the last return the columns of documents; n_chars
 follows the text where a stage changes it. Quality rules drop what they reject, line dedup takes repeated lines out
-of the texts, the Jaccard join leaves of each group of linked documents the one with the smallest doc_id,
-decontamination drops documents that hold a benchmark item, and the last stage turns texts into SentencePiece ids.
+of the texts and drops documents of which nothing is left, the Jaccard join leaves of each group of linked documents the
+one with the smallest doc_id, decontamination drops documents that hold a benchmark item, and the last stage turns texts
+into SentencePiece ids.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, jaccard, linededup, pieces, queries, rules
-from lodestone.llm.common import delete, scratch_path, table
+from lodestone.llm.common import delete, fresh, scratch_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(docs)
+    """A document all of whose lines with words stand in earlier ones goes."""
+    lines = fresh(docs, "lines")
+    kept = linededup.dedup_lines(docs, counts=lines)
+    emptied = (F.col(lines)["n_removed"] > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    kept = kept.where(~F.coalesce(emptied, F.lit(False))).drop(lines)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
