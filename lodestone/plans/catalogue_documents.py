@@ -19,7 +19,7 @@ from ..operators import globs
 from ..operators import selector as S
 from ..schemas import CombineOptions, DistillOptions, Metadata, TreeOptions
 from ..sources import virtual
-from . import combine, distill, render, tree
+from . import combine, distill, parts, render, tree
 from .catalogue import CHANGES, DOCS, NAMED, PICKER, SHOWN, _picker, named, python_files, shown_changes, ts_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,12 +296,12 @@ def q_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT source AS a, '' AS b, 0 AS j, CASE WHEN source = x THEN '└── ' ELSE '├── ' END || source || '/' AS line FROM s, last_folder
         UNION ALL SELECT source, doc_id::VARCHAR || '.py', 0, CASE WHEN source = x THEN '    ' ELSE '│   ' END || CASE WHEN last THEN '└── ' ELSE '├── ' END || doc_id || '.py' FROM d, last_folder
         UNION ALL SELECT source, doc_id::VARCHAR || '.py', j, CASE WHEN source = x THEN '    ' ELSE '│   ' END || CASE WHEN last THEN '    ' ELSE '│   ' END || CASE WHEN j = 2 THEN '└── B' ELSE '├── a' END || doc_id FROM d, last_folder, (SELECT unnest([1, 2]) AS j))
-    SELECT string_split(string_agg(line, {NL} ORDER BY a, b, j), {NL})::VARCHAR[] AS x FROM lines""".replace("SELECT string_split", "SELECT md5('.' || chr(10) || array_to_string(string_split").replace("::VARCHAR[] AS x", ", chr(10))) AS document"))
+    SELECT row_number() OVER (ORDER BY a, b, j) - 1 AS place, line FROM lines""")
 def q_tree_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table in one document, as it is one tree; its hash is compared."""
+    """One tree of the whole table, a line a row."""
     n = F.col("ord").cast("string")
     files = virtual.documents(spark, sf_dir).select(F.concat("source", F.lit("/"), n, F.lit(".py")).alias("file"), F.concat(F.lit("def a"), n, F.lit("(): pass\nclass B"), n, F.lit(": pass\n")).alias("content"))
-    return tree.tree_by_file(distill.symbols(distill.parse(files))).select(F.md5("document").alias("document"))
+    return parts.numbered(tree.tree_lines(distill.symbols(distill.parse(files)))).select("place", F.col("block").alias("line"))
 
 
 # -- changes and pickers

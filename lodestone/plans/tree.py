@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..schemas import TreeOptions
+from . import parts
 from .render import document
 
 #: Order within a file and of the flat list: classes come last, with unknown types.
@@ -50,7 +51,9 @@ def skeleton(files: DataFrame) -> DataFrame:
     line of its children, made of its ancestors' and its own place among their siblings. Folders come before files."""
     parts = files.select("file").distinct().select(F.filter(F.split("file", "/"), lambda x: x != "").alias("p"))
     nodes = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(F.array_join(F.slice("p", F.lit(1), k), "/").alias("path"), F.array_join(F.slice("p", F.lit(1), k - 1), "/").alias("parent"), F.get("p", k - 1).alias("name"), (k == F.size("p")).alias("is_file"), k.alias("depth")))).alias("n")).select("n.*").distinct()
-    nodes = nodes.withColumn("is_last", is_last("parent", order=[F.col("is_file"), F.col("name")]))
+    # the last of each folder by an aggregate, which a folder of very many entries does not gather in a task
+    ends = nodes.groupBy("parent").agg(F.max_by("path", F.struct("is_file", "name")).alias("path")).select("path", F.lit(True).alias("ends"))
+    nodes = nodes.join(ends, "path", "left").withColumn("is_last", F.coalesce("ends", F.lit(False))).drop("ends")
     ups = nodes.select("path", "depth", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))).alias("k", "up"))
     marks = nodes.select(F.col("path").alias("up"), stem(F.col("is_last")).alias("s"), F.struct((F.col("is_file")).alias("f"), F.col("name").alias("n")).alias("key"))
     grown = ups.join(marks, "up").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "s", "key"))).alias("a"))
@@ -58,7 +61,9 @@ def skeleton(files: DataFrame) -> DataFrame:
     return nodes.join(grown, "path")
 
 
-def tree_by_file(symbols: DataFrame, root: str = ".", options: TreeOptions | None = None) -> DataFrame:
+def tree_lines(symbols: DataFrame, options: TreeOptions | None = None) -> DataFrame:
+    """The tree's lines below its root, as blocks (ord, block): parts.numbered or parts.pieces put them in order over many
+    tasks."""
     options = options or TreeOptions()
     rows = visible(symbols, options)
     nodes = skeleton(rows)
@@ -71,7 +76,12 @@ def tree_by_file(symbols: DataFrame, root: str = ".", options: TreeOptions | Non
     doc = F.when(F.col("docstring") != "", F.array(F.concat("prefix", stem(F.col("last")), T.preview(F.col("docstring"), 80)))).otherwise(none)
     text = F.concat(F.array(F.concat("prefix", branch(F.col("last")), label(options.show_types), private_mark())), doc)
     leaves = placed.select("key", "i", F.posexplode(text).alias("j", "block")).select(F.struct("key", "i", "j").alias("ord"), "block")
-    body = document(heads.unionByName(leaves))
+    return heads.unionByName(leaves)
+
+
+def tree_by_file(symbols: DataFrame, root: str = ".", options: TreeOptions | None = None) -> DataFrame:
+    """The tree as one text, for symbols of which one text can hold them all."""
+    body = document(tree_lines(symbols, options))
     return body.select(F.concat_ws("\n", F.lit(root), F.nullif("document", F.lit(""))).alias("document"))
 
 
@@ -115,6 +125,13 @@ def outline(symbols: DataFrame, options: TreeOptions | None = None, by: list[str
     return document(files.select(F.col("file").alias("ord"), F.concat(F.lit("## "), "file", F.lit("\n\n"), "document", F.lit("\n")).alias("block"), *by), by)
 
 
+def write_tree(symbols: DataFrame, path: str, root: str = ".", options: TreeOptions | None = None) -> str:
+    """Writes the tree by file to one file, over many tasks."""
+    lines = tree_lines(symbols, options)
+    top = symbols.sparkSession.range(1).select(F.lit(None).cast(lines.schema["ord"].dataType).alias("ord"), F.lit(root).alias("block"))
+    return parts.write(parts.pieces(top.unionByName(lines)), path)
+
+
 def tree(symbols: DataFrame, root: str = ".", options: TreeOptions | None = None) -> DataFrame:
     options = options or TreeOptions()
     return tree_by_file(symbols, root, options) if options.group_by == "file" else tree_by_type(symbols, options) if options.group_by == "type" else tree_flat(symbols, options)
