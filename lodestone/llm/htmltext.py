@@ -6,13 +6,13 @@ long, punctuated nodes, menus in paths with many short ones. Both ratios are fus
 neighbouring nodes by a Gaussian, and the nodes whose score reaches the share ``threshold`` of the scores' standard deviation are
 content. The article is the smallest element that holds all content nodes; where the page marks an article or main
 element, only the content in the one with most text counts, and the innermost one around that content is taken. All blocks of the
-article are given, however short; without such a mark, a part of the element that has no content node and consists of
-links for the most part is left out.
+article are given, however short; without such a mark, a part of the element that has no content node is left out if it
+consists of links for the most part, and a section before or after all content if no path in it passes by itself.
 
 What is no article by its markup is left out first: menus, headers and footers of the site, sidebars, notices, adverts,
 forms, comments and hidden elements. A class, id or role counts by its last word that is no mere container word, so
 ``ad-box`` is an advert, but ``social-science`` is no share button. Where such a name is of a kind that articles may have, too
-(``notice``, ``related``), an element that holds most of the page's text is not left out.
+(``notice``, ``related``), an element that holds most of the page's text is not left out; nor is a form around the page.
 
 Null and empty pages give an empty text. Each row is worked on alone; columns other than the html are kept as they
 are, except one named like the output, which is replaced. Unclosed and misnested tags are handled as browsers do,
@@ -48,18 +48,22 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
 SCOPE = frozenset("article aside body div footer form header html li main nav section table td th ul ol dl".split())
 
 #: What is no article: by tag, and by the last telling word of a name in class, id or role.
-APART = frozenset("nav footer aside form button select dialog menu head input label fieldset search".split())
+APART = frozenset("nav footer aside button select dialog menu head input label fieldset search".split())
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments contentinfo consent cookie cookies disqus footer gdpr menu menus nav navbar navigation pagination replies sidebar sidebars".split()
 )
 DOUBTFUL_WORDS = frozenset(
     "banner banners dropdown modal newsletter notice notices popup promo promos promotion promotions related respond search share sharing signup skip social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar widget widgets".split()
 )
+#: Elements that hold the whole page on some sites, and a few fields on most.
+DOUBTFUL = frozenset(["form"])
 SITE_WORDS = frozenset("header masthead topbar".split())
 #: Words that only say that something is contained.
 CONTAINER_WORDS = frozenset(
     "area articles bar block body box button buttons card cards column container content form group holder icon icons inner item items link links list main media outer overlay panel post posts row section slot stories text unit us widget widgets wrap wrapper zone".split()
 )
+#: Elements that part a page.
+SECTIONS = frozenset("div section center address".split())
 #: Elements of running text, which hold no article.
 INLINE = frozenset("p b i em strong span a h1 h2 h3 h4 h5 h6 font u small li".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -146,6 +150,8 @@ class Page:
         top, e = self.stack[-1], len(self.parent)
         inside = self.marked[top] > 0
         key, apart, doubt = name, self.apart[top] or name in APART or name == "header" and not inside, self.doubt[top]
+        if not doubt and name in DOUBTFUL:
+            doubt = e
         if rest and "=" in rest or "hidden" in rest:
             a = _attributes(rest)
             key = f"{name}.{a['class']}" if "class" in a else name
@@ -217,12 +223,12 @@ def path_scores(nodes: list[tuple[int, str]], width: int = 1, sigma: float = 1.0
     return out
 
 
-def content_nodes(nodes: list[tuple[int, str]], threshold: float = 0.5) -> list[int]:
-    """The numbers of the (path, text) whose smoothed score reaches the threshold."""
+def content_nodes(nodes: list[tuple[int, str]], threshold: float = 0.5, width: int = 1) -> list[int]:
+    """The numbers of the (path, text) whose score, smoothed over ``width`` neighbours, reaches the threshold."""
     scores = path_scores(nodes)
     mean = sum(scores) / len(scores)
     deviation = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    return [k for k, s in enumerate(scores) if s >= threshold * deviation]
+    return [k for k, s in enumerate(scores if width == 1 else path_scores(nodes, width)) if s >= threshold * deviation]
 
 
 def main_text(source: str | None, threshold: float = 0.5) -> str:
@@ -248,10 +254,15 @@ def main_text(source: str | None, threshold: float = 0.5) -> str:
     chosen = page.marked[chosen] or chosen
     part = page.below(chosen)
     links = page.sums([(e, len(t)) for e, t in nodes if page.linked[e]])
+    if not best:  # nodes that are content by their own paths, not by their neighbours'
+        own = {nodes[k][0] for k in content_nodes([(page.path[e], t.strip()) for e, t in nodes], threshold, 0)} or set(content)
+        numbers = [b for e, b, _ in plain if e in own]
+        first, last, anchored = min(numbers), max(numbers), page.sums([(e, 1) for e in own])
     blocks: dict[int, list[str]] = {}
     for e, b, t in plain:
         k = part[e]
-        menu = not best and k != chosen and not held[k] and page.name[k] not in INLINE and 2 * links[k] > lengths[k]
+        part_of = not best and k != chosen and page.name[k] not in INLINE
+        menu = part_of and (not held[k] and 2 * links[k] > lengths[k] or page.name[k] in SECTIONS and not anchored[k] and not first <= b <= last)
         if k >= 0 and not menu:
             blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())

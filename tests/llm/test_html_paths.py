@@ -87,3 +87,15 @@ def test_hostile_pages_take_linear_time(source):
     start = time.process_time()
     got = htmltext.main_text(source + " end.</b>")
     assert time.process_time() - start < 8 and len(got) < 1_000_000
+
+
+def test_a_form_around_the_page():
+    page = f"<body><form id=aspnetForm><div class=menu><a>m</a></div><div>{PARA * 3}<form>x</form></div></form></body>"
+    assert htmltext.main_text(page).startswith("\n".join([TEXT] * 3))
+    assert htmltext.main_text(f"<form><input><label>Name</label> Send your name, please.</form><div>{PARA * 5}</div>") == "\n".join([TEXT] * 5)
+
+
+def test_without_marks_sections_beyond_the_content_go():
+    page = f"<body><div><a>one</a> <a>two</a></div><div>menu</div><h1>Title</h1><div>{PARA * 6}</div><div>8 May</div><div>{PARA * 6}</div><div>imprint</div></body>"
+    assert htmltext.main_text(page) == "\n".join(["Title"] + [TEXT] * 6 + ["8 May"] + [TEXT] * 6)
+    assert htmltext.main_text(f"<body><div>{PARA * 6}<ul><li>i<li>j</ul></div></body>").endswith("i\nj")
