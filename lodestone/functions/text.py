@@ -183,3 +183,8 @@ def looks_like_text(name: Column, data: Column, extensions: list[str]) -> Column
 
 def fingerprint(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(8))
+
+
+def locale_key(text: Column) -> Column:
+    """Sorts as people sort names: letters before case and accents, by the root collation; equal ones need a key more."""
+    return F.collate(text, "UNICODE")

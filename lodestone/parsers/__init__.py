@@ -60,8 +60,12 @@ class Language:
     name: str
     extensions: tuple[str, ...]
     parse: Callable[[str, DistillOptions], Parsed]
+    initialize: Callable[[], None] | None = None
+    """Called once in each process, before its first source."""
 
 
+#: Languages that are initialized in this process.
+_ready: set[str] = set()
 _languages: dict[str, Language] = {}
 
 
@@ -71,6 +75,33 @@ def register(language: Language) -> None:
 
 def unregister(name: str) -> None:
     _languages.pop(name, None)
+    _ready.discard(name)
+
+
+def registered_languages() -> list[Language]:
+    return list(_languages.values())
+
+
+def use(languages: list[Language]) -> None:
+    """Registers, in a worker, what the driver has registered."""
+    for x in languages:
+        register(x)
+
+
+def initialize(language: Language) -> None:
+    if language.name not in _ready:
+        if language.initialize:
+            language.initialize()
+        _ready.add(language.name)
+
+
+def initialize_all() -> None:
+    for x in registered_languages():
+        initialize(x)
+
+
+def is_initialized(name: str) -> bool:
+    return name in _ready
 
 
 def registered() -> list[str]:
@@ -88,6 +119,7 @@ def parse_source(path: str, source: str, options: DistillOptions) -> Parsed:
     if language is None:
         return Parsed(errors=[(f"no language for {path}", 0, "error")])
     try:
+        initialize(language)
         return language.parse(source, options)
     except Exception as e:  # noqa: BLE001  one file must not end the job
         return Parsed(errors=[(f"{type(e).__name__}: {e}", 0, "error")])
@@ -122,11 +154,10 @@ def as_row(path: str, parsed: Parsed, compat: bool = False) -> dict:
 def parse_files(files: DataFrame, options: DistillOptions | None = None) -> DataFrame:
     """files (file, content) to one nested row a file. Row-local, so it works on streams as well."""
     options = options or DistillOptions()
-    languages = list(_languages.values())
+    languages = registered_languages()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in languages:
-            register(x)
+        use(languages)
         schema = pa.schema([("file", pa.string()), *_PARTS])
         for batch in batches:
             rows = [as_row(f, parse_source(f, c or "", options), options.compat) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DistillOptions
-from . import distill
+from . import distill, parts, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,16 @@ def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'src/i' || doc_id || '.ts' AS file, ord, name, signature FROM rows""")
 def q_typescript_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.symbols(distill.parse(importing_files(spark, sf_dir), DistillOptions(types="inferred"))).select("file", "ord", "name", "signature")
+
+
+# -- locale order
+
+
+@query("""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS name FROM documents)
+    SELECT row_number() OVER (ORDER BY name COLLATE de, name) - 1 AS place, name FROM words""")
+def q_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts as folders of a tree: upper and lower case and accents side by side."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), F.lit(0))).alias("name")).distinct()
+    nodes = tree.skeleton(words.select(F.concat("name", F.lit("/f.txt")).alias("file"))).where("NOT is_file")
+    return parts.numbered(nodes.select(F.col("key").alias("ord"), F.col("name").alias("block"))).select("place", F.col("block").alias("name"))

@@ -180,7 +180,7 @@ def distill_txt(parsed: DataFrame, private: bool = False, docstrings: bool = Tru
     text = F.array_join(F.transform(rows, lambda e: export_text(e, docstrings)), "")
     block = F.concat(F.lit('<file path="'), T.clean_path(F.col("file")), F.lit('">\n'), import_lines(F.col("imports")) if imports else F.lit(""), text, F.lit("</file>\n"))
     folder = F.coalesce(F.nullif(T.directory(F.col("file")), F.lit("")), F.lit("."))
-    return document(parsed.select(F.struct(folder.alias("d"), F.col("file")).alias("ord"), block.alias("block"), *(by or [])), by).select(*(by or []), F.trim(F.regexp_replace("document", r"\s+$", "")).alias("document"))
+    return document(parsed.select(F.struct(folder.alias("d"), T.locale_key(F.col("file")).alias("k"), F.col("file")).alias("ord"), block.alias("block"), *(by or [])), by).select(*(by or []), F.trim(F.regexp_replace("document", r"\s+$", "")).alias("document"))
 
 
 def distill_md(parsed: DataFrame, private: bool = False, imports: bool = True, by: list[str] | None = None) -> DataFrame:

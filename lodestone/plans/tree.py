@@ -48,17 +48,19 @@ def stem(last: Column) -> Column:
 
 def skeleton(files: DataFrame) -> DataFrame:
     """Every folder and file of the paths: path, parent, name, is_file, is_last, and prefix: what stands before a
-    line of its children, made of its ancestors' and its own place among their siblings. Folders come before files."""
+    line of its children, made of its ancestors' and its own place among their siblings. Folders come before files, in the
+    locale's order; files follow by code."""
     parts = files.select("file").distinct().select(F.filter(F.split("file", "/"), lambda x: x != "").alias("p"))
     nodes = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(F.array_join(F.slice("p", F.lit(1), k), "/").alias("path"), F.array_join(F.slice("p", F.lit(1), k - 1), "/").alias("parent"), F.get("p", k - 1).alias("name"), (k == F.size("p")).alias("is_file"), k.alias("depth")))).alias("n")).select("n.*").distinct()
     # the last of each folder by an aggregate, which a folder of very many entries does not gather in a task
-    ends = nodes.groupBy("parent").agg(F.max_by("path", F.struct("is_file", "name")).alias("path")).select("path", F.lit(True).alias("ends"))
+    nodes = nodes.withColumn("sort", F.when(~F.col("is_file"), T.locale_key(F.col("name"))))
+    ends = nodes.groupBy("parent").agg(F.max_by("path", F.struct("is_file", "sort", "name")).alias("path")).select("path", F.lit(True).alias("ends"))
     nodes = nodes.join(ends, "path", "left").withColumn("is_last", F.coalesce("ends", F.lit(False))).drop("ends")
     ups = nodes.select("path", "depth", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))).alias("k", "up"))
-    marks = nodes.select(F.col("path").alias("up"), stem(F.col("is_last")).alias("s"), F.struct((F.col("is_file")).alias("f"), F.col("name").alias("n")).alias("key"))
+    marks = nodes.select(F.col("path").alias("up"), stem(F.col("is_last")).alias("s"), F.struct(F.col("is_file").alias("f"), F.col("sort").alias("s"), F.col("name").alias("n")).alias("key"))
     grown = ups.join(marks, "up").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "s", "key"))).alias("a"))
     grown = grown.select("path", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("prefix"), F.transform("a", lambda x: x["key"]).alias("key"))
-    return nodes.join(grown, "path")
+    return nodes.drop("sort").join(grown, "path")
 
 
 def tree_lines(symbols: DataFrame, options: TreeOptions | None = None) -> DataFrame:
