@@ -154,7 +154,7 @@ class DiffReader(_Chunked):
             return
         paths = [os.fsencode(x) for group in partition.groups for x in group]
         top = git(self.repo, "rev-parse", "--show-toplevel").rstrip("\n")  # names are relative to it
-        with subprocess.Popen(["git", "-C", top, "--literal-pathspecs", *partition.command, "--", *paths], stdout=subprocess.PIPE) as run:
+        with subprocess.Popen(["git", "-C", top, "-c", "core.quotePath=false", "--literal-pathspecs", *partition.command, "--", *paths], stdout=subprocess.PIPE) as run:
             held: list[bytes] = []
             at = partition.start
             for line in run.stdout:
