@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import snapshots
 from ..schemas import DistillOptions
+from ..sources import virtual
 from . import distill, parts, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +116,37 @@ def q_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), F.lit(0))).alias("name")).distinct()
     nodes = tree.skeleton(words.select(F.concat("name", F.lit("/f.txt")).alias("file"))).where("NOT is_file")
     return parts.numbered(nodes.select(F.col("key").alias("ord"), F.col("name").alias("block"))).select("place", F.col("block").alias("name"))
+
+
+# -- snapshots
+
+
+def two_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by path, before and after: by id they stay, change, go, move, or move with a line more; some are new."""
+    docs = virtual.documents(spark, sf_dir)
+    step, place = F.col("ord") % 5, F.col("ord").cast("string")
+    file = F.when(step == 3, F.concat(F.lit("moved/"), place)).when(step == 4, F.concat(F.lit("edited/"), place)).otherwise(F.col("file"))
+    text = F.when(step.isin(1, 4), F.concat("content", F.lit("\n#"), place)).otherwise(F.col("content"))
+    after = docs.where(step != 2).select(file.alias("file"), text.alias("content"))
+    new = docs.where("ord % 10 = 0").select(F.concat(F.lit("new/"), place).alias("file"), F.concat(F.lit("new\n"), place).alias("content"))
+    return docs.select("file", "content"), after.unionByName(new)
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 AS step, source || '/' || lang || '/' || doc_id || '.txt' AS file, coalesce(text, '') AS t FROM documents),
+    old AS (SELECT file, t, row_number() OVER (PARTITION BY t ORDER BY file) AS k FROM d WHERE step IN (2, 3, 4)),
+    new AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY file) AS k FROM (
+        SELECT CASE step WHEN 3 THEN 'moved/' ELSE 'edited/' END || doc_id AS file, CASE WHEN step = 4 THEN t || chr(10) || '#' || doc_id ELSE t END AS t FROM d WHERE step IN (3, 4)
+        UNION ALL SELECT 'new/' || doc_id, 'new' || chr(10) || doc_id FROM d WHERE doc_id % 10 = 0)),
+    pairs AS (SELECT old.file AS old_file, new.file AS new_file FROM old FULL JOIN new USING (t, k))
+    SELECT 'modified' AS status, file, NULL AS old_file FROM d WHERE step = 1
+    UNION ALL SELECT CASE WHEN new_file IS NULL THEN 'deleted' WHEN old_file IS NULL THEN 'added' ELSE 'renamed' END, coalesce(new_file, old_file), CASE WHEN new_file IS NOT NULL THEN old_file END FROM pairs""")
+def q_snapshot_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.compare(*two_snapshots(spark, sf_dir), similar=None).select("status", "file", "old_file")
+
+
+def q_snapshot_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness by lines has no SQL of bearable cost; tests hold it against brute force."""
+    return snapshots.compare(*two_snapshots(spark, sf_dir), similar=50)
+
+
+QUERIES["q_snapshot_renames"] = q_snapshot_renames
