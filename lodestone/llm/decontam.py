@@ -1,10 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 An item is found in a document when at least ``percent`` of the item's distinct shingles (``width`` words in a row,
-words of letters and digits, A-Z lower-cased; an item or text with fewer words is one shingle) are in the document.
+words of letters and digits, A-Z lower-cased) are in the document. An item of fewer words is one shingle of its own length,
+and found where its words stand in a row; documents have shingles of such lengths only where the benchmark has such items.
 
-Items are partitioned by size: partition j holds items of 2**j to 2**(j + 1) - 1 shingles. Of each item a MinHash
-sketch is kept, its k smallest hashes, k = u - ceil(percent * u / 100) + 1 for the partition's upper size u (all of
+Items are partitioned by size: partition j holds items of 2**j to 2**(j + 1) - 1 shingles. Of each item a sketch of hashes is
+kept, those of the shingles that fewest items have and of these the smallest, so that a prompt which many items share brings
+no candidates together: the first k, k = u - ceil(percent * u / 100) + 1 for the partition's upper size u (all of
 them if it has fewer). An item of n shingles may lack n - ceil(percent * n / 100) of them in a document that contains
 it, so at least k minus that many sketch values, one or more, are among the document's shingles: the search misses
 nothing, however long the document. Documents are first tested in place against one Bloom filter of all sketch
@@ -40,16 +42,39 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
     return F.get(F.transform(F.array(words(ascii_lower(F.coalesce(text, F.lit(""))))), of), 0)
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """(item, item_id, text, n_words) of items (item_id, text); item tells rows apart."""
+    return items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text", F.size(words(ascii_lower(F.coalesce("text", F.lit(""))))).alias("n_words"))
+
+
 def sketches(items: DataFrame, percent: int, width: int) -> DataFrame:
-    """(item, item_id, shingles, n, partition, sketch, needed) of items (item_id, text); item tells rows apart."""
+    """(item, item_id, shingles, n, partition, sketch, needed) of item_words."""
     n, u = F.col("n"), F.expr("shiftleft(2, partition) - 1")
     need = lambda x: F.floor((x * percent + 99) / 100)
-    sized = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), width))).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
+    each = items.select("item", "item_id", F.explode(F.array_distinct(shingle_hashes(F.col("text"), width))).alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ordered = each.join(often, "shingle").groupBy("item").agg(F.first("item_id").alias("item_id"), F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    sized = ordered.select("item", "item_id", F.transform("s", lambda x: x["shingle"]).alias("shingles")).withColumn("n", F.size("shingles"))
     sized = sized.withColumn("partition", F.floor(F.log2("n") + 1e-9).cast("int"))
     k = F.least(n, u - need(u) + 1).cast("int")
     return sized.withColumn("sketch", F.slice("shingles", F.lit(1), k)).withColumn("needed", F.size("sketch") - (n - need(n)))
 
 
+def document_hashes(text: Column, width: int, short: list[int]) -> Column:
+    """The hashes of a text's shingles, and of its runs of each of the short lengths."""
+    if not short:
+        return shingle_hashes(text, width)
+
+    def runs(w: Column, m: int) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i + m <= F.size(w))
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(m)]))
+
+    def of(w: Column) -> Column:
+        return F.concat(*[runs(w, m) for m in short])
+
+    return F.concat(shingle_hashes(text, width), F.get(F.transform(F.array(words(ascii_lower(F.coalesce(text, F.lit(""))))), of), 0))
+
+
 def bloom(values: DataFrame, max_bits: int) -> Level | None:
     """A Bloom filter of (key bigint): 64 bits and 4 hashes a key, up to max_bits."""
     n = values.count()
@@ -70,10 +95,12 @@ def bloom(values: DataFrame, max_bits: int) -> Level | None:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width: int = 5, max_bits: int = 1 << 24) -> DataFrame:
     """doc_id, text_hash (xxhash64, to tell rows of one doc_id apart), item_id, n_item, n_common, containment of every
     document (doc_id, text) and every item (item_id, text) found in it."""
-    items, items_path = stored(sketches(benchmark, percent, width), "items")
+    given, given_path = stored(item_words(benchmark), "benchmark")
+    short = sorted(r.n_words for r in given.where(F.col("n_words").between(1, width - 1)).select("n_words").distinct().collect())  # width - 1 rows at most
+    items, items_path = stored(sketches(given, percent, width), "items")
     values = items.select("item", "n", "needed", F.explode("sketch").alias("key"))
     level = bloom(values.select("key").distinct(), max_bits)
-    hashes = shingle_hashes(F.col("text"), width)
+    hashes = document_hashes(F.col("text"), width, short)
     seen = docs.select("doc_id", "text").where(F.exists(hashes, lambda x: level.holds(x, 0)) if level else F.lit(False))
     held, held_path = stored(seen.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.array_distinct(hashes).alias("h")), "held")
     places = held.select("_row", F.size("h").alias("n_doc"), F.explode("h").alias("key"))
@@ -83,7 +110,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width:
     common = F.size(F.array_intersect("h", "shingles")).cast("long")
     found = both.select("doc_id", "text_hash", "item_id", F.col("n_item").cast("long").alias("n_item"), common.alias("n_common")).where(f"100 * n_common >= {percent} * n_item")
     out, _ = stored(found.withColumn("containment", F.col("n_common") / F.col("n_item")), "leaks")
-    delete(docs.sparkSession, items_path), delete(docs.sparkSession, held_path)
+    for path in (given_path, items_path, held_path):
+        delete(docs.sparkSession, path)
     return out
 
 

@@ -164,14 +164,18 @@ def _license_sql(threshold: float = 0.8) -> str:
 def _leak_sql(percent: int = 80) -> str:
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-    def shingles(key: str, source: str) -> str:
+    def worded(key: str, source: str) -> str:
         lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        return f"""(SELECT DISTINCT k, {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-            FROM (SELECT row_number() OVER () AS k, {key}, regexp_extract_all({lower}, '{pattern}') AS w FROM {source}))"""
+        return f"(SELECT row_number() OVER () AS k, {key}, regexp_extract_all({lower}, '{pattern}') AS w FROM {source})"
+
+    def runs(n: str) -> str:
+        return f"unnest(list_transform(generate_series(1, len(w) - {n} + 1), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS s"
 
     return f"""
-        WITH d AS {shingles("doc_id", "documents")}, b AS {shingles("item_id", "benchmark")},
+        WITH dw AS {worded("doc_id", "documents")}, bw AS {worded("item_id", "benchmark")},
+        lengths AS (SELECT DISTINCT len(w) AS m FROM bw WHERE len(w) BETWEEN 1 AND 4),
+        d AS (SELECT DISTINCT k, doc_id, {runs("5")} FROM dw WHERE len(w) >= 5 UNION ALL SELECT DISTINCT k, doc_id, {runs("m")} FROM dw, lengths WHERE len(w) >= m),
+        b AS (SELECT DISTINCT k, item_id, {runs("least(len(w), 5)")} FROM bw WHERE len(w) > 0),
         sizes AS (SELECT k, count(*) AS n_item FROM b GROUP BY k),
         common AS (SELECT d.k AS dk, doc_id, b.k AS bk, item_id, count(*) AS n_common FROM d JOIN b USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, n_item::BIGINT AS n_item, n_common::BIGINT AS n_common, n_common / n_item AS containment

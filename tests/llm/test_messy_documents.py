@@ -158,7 +158,12 @@ def test_decontamination(spark, docs, none):
     for i, t in messy.TEXTS:
         d = messy.shingles(messy.plain_words(t))
         for j, x in items:
-            b = messy.shingles(messy.plain_words(x))
+            b, n = messy.shingles(messy.plain_words(x)), len(messy.plain_words(x))
+            if 0 < n < 5:  # a short item is looked for as it is
+                w = messy.plain_words(t)
+                d = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+            else:
+                d = messy.shingles(messy.plain_words(t))
             if b and 100 * len(b & d) >= 80 * len(b):
                 want.append((i, j, len(b), len(b & d)))
     assert got == pairs(want) and (11, 1, 21, 21) in got and (12, 8, 21, 18) in got and (10, 7) in {k[:2] for k in got}
