@@ -13,7 +13,8 @@ from ..operators import changes as C
 from ..operators import globs
 from ..operators import selector as S
 from ..schemas import CombineOptions, ExtractOptions, Metadata
-from . import render
+from ..sources.tables import stored
+from . import parts, render
 
 
 def as_changes(files: DataFrame) -> DataFrame:
@@ -47,10 +48,17 @@ def combine_paths(spark: SparkSession, paths: list[str], options: CombineOptions
     rows = in_order(as_changes(files.withColumn("file_size", F.col("size"))), options.sort_by, options.sort_order)
     document = {"txt": render.combine_txt, "md": render.combine_md, "json": render.combine_json}[options.format](rows)
     if options.output:
-        write(document, options.output)
+        write_rows(rows, document, options.format, options.output)
     return document, errors
 
 
+def write_rows(rows: DataFrame, document: DataFrame, fmt: str, path: str) -> str:
+    """Writes the rows' document to a named file, over many tasks but for JSON; returns its whole path."""
+    if fmt == "json":
+        return write(document, path)
+    return parts.write(render.combine_pieces(stored(rows, "rows"), fmt), os.path.abspath(path))
+
+
 def in_order(rows: DataFrame, sort_by: str | None, sort_order: str) -> DataFrame:
     """Rows whose ord follows the order asked for."""
     if not sort_by:

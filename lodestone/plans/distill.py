@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions import text as T
 from ..functions.languages import detect_language
 from ..operators import globs
 from ..schemas import DistillOptions
-from . import render, typing
+from ..sources.tables import stored
+from . import parts, render, typing
 
 
 def compress(files: DataFrame) -> DataFrame:
@@ -98,6 +101,27 @@ def distill(files: DataFrame, options: DistillOptions | None = None) -> DataFram
     return renderer(picked, parsed, options)
 
 
+def write(files: DataFrame, path: str, options: DistillOptions | None = None) -> str:
+    """Writes the document of distill to a file that all executors see, over many tasks but for JSON; returns its whole path."""
+    options, path = options or DistillOptions(), os.path.abspath(path)
+    if options.format not in ("txt", "md"):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(distill(files, options).first().document)
+        return path
+    parsed = stored(parse(pick(files, options), options), "parsed")
+    blocks = render.distill_md_blocks(parsed, options.private) if options.format == "md" else render.distill_txt_blocks(parsed, options.private, options.docstrings)
+    return parts.write(parts.pieces(blocks, separator="\n\n"), path)
+
+
+def distill_path(spark: SparkSession, path: str, options: DistillOptions | None = None) -> DataFrame:
+    """The document of a folder or file; also written to options.output, if given."""
+    options = options or DistillOptions()
+    files = scan(spark, path, options).select("file", "content")
+    if options.output:
+        write(files, options.output, options)
+    return distill(files, options)
+
+
 #: What distill can write; more can be registered as (files, parsed, options) -> documents.
 FORMATS = render.Formats(default="txt")
 FORMATS.register("txt", lambda files, parsed, o: render.distill_txt(parsed, o.private, o.docstrings))

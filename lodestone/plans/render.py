@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.languages import combine_fence, extract_fence, syntax_language
 from ..schemas import Metadata
+from . import parts
 
 TYPE_ORDER = ("interface", "class", "function", "type", "const", "enum")
 
@@ -124,9 +125,20 @@ def combine_txt(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     return framed("<code_context>\n\n", combine_txt_blocks(files).select("ord", "block", *(by or [])), "</code_context>", by)
 
 
-def combine_md(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+def combine_md_blocks(files: DataFrame) -> DataFrame:
     block = lines(F.concat(F.lit("## "), F.col("file")), "", F.concat(F.lit("```"), combine_fence(F.col("file"))), shown(files), "```", "")
-    return framed("# Code Context\n\n", files.select("ord", block.alias("block"), *(by or [])), "", by)
+    return files.withColumn("block", block)
+
+
+def combine_md(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return framed("# Code Context\n\n", combine_md_blocks(files).select("ord", "block", *(by or [])), "", by)
+
+
+def combine_pieces(files: DataFrame, fmt: str) -> DataFrame:
+    """The document of combine_txt or combine_md, in pieces."""
+    if fmt == "md":
+        return parts.pieces(combine_md_blocks(files), "# Code Context\n\n")
+    return parts.pieces(combine_txt_blocks(files), "<code_context>\n\n", "</code_context>")
 
 
 def combine_json(files: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -175,18 +187,27 @@ def by_type(exports: Column) -> Column:
     return F.transform(ordered, lambda x: x["e"])
 
 
-def distill_txt(parsed: DataFrame, private: bool = False, docstrings: bool = True, imports: bool = True, grouped: bool = True, by: list[str] | None = None) -> DataFrame:
+def distill_txt_blocks(parsed: DataFrame, private: bool = False, docstrings: bool = True, imports: bool = True, grouped: bool = True) -> DataFrame:
+    """A block a file, by folder; two line feeds part them."""
     rows = by_type(visible(private)) if grouped else visible(private)
     text = F.array_join(F.transform(rows, lambda e: export_text(e, docstrings)), "")
-    block = F.concat(F.lit('<file path="'), T.clean_path(F.col("file")), F.lit('">\n'), import_lines(F.col("imports")) if imports else F.lit(""), text, F.lit("</file>\n"))
+    block = F.concat(F.lit('<file path="'), T.clean_path(F.col("file")), F.lit('">\n'), import_lines(F.col("imports")) if imports else F.lit(""), text, F.lit("</file>"))
     folder = F.coalesce(F.nullif(T.directory(F.col("file")), F.lit("")), F.lit("."))
-    return document(parsed.select(F.struct(folder.alias("d"), T.locale_key(F.col("file")).alias("k"), F.col("file")).alias("ord"), block.alias("block"), *(by or [])), by).select(*(by or []), F.trim(F.regexp_replace("document", r"\s+$", "")).alias("document"))
+    return parsed.withColumns({"block": block, "ord": F.struct(folder.alias("d"), T.locale_key(F.col("file")).alias("k"), F.col("file"))})
 
 
-def distill_md(parsed: DataFrame, private: bool = False, imports: bool = True, by: list[str] | None = None) -> DataFrame:
+def distill_txt(parsed: DataFrame, private: bool = False, docstrings: bool = True, imports: bool = True, grouped: bool = True, by: list[str] | None = None) -> DataFrame:
+    return document(distill_txt_blocks(parsed, private, docstrings, imports, grouped).select("ord", "block", *(by or [])), by, "\n\n")
+
+
+def distill_md_blocks(parsed: DataFrame, private: bool = False, imports: bool = True) -> DataFrame:
     signatures = F.array_join(F.transform(visible(private), lambda e: F.concat(e["signature"], F.lit("\n"))), "")
-    block = F.concat(F.lit("## "), F.col("file"), F.lit("\n\n```"), syntax_language(F.col("file")), F.lit("\n"), import_lines(F.col("imports")) if imports else F.lit(""), signatures, F.lit("```\n"))
-    return document(parsed.select(F.col("file").alias("ord"), block.alias("block"), *(by or [])), by).select(*(by or []), F.regexp_replace("document", r"\s+$", "").alias("document"))
+    block = F.concat(F.lit("## "), F.col("file"), F.lit("\n\n```"), syntax_language(F.col("file")), F.lit("\n"), import_lines(F.col("imports")) if imports else F.lit(""), signatures, F.lit("```"))
+    return parsed.withColumns({"block": block, "ord": F.col("file")})
+
+
+def distill_md(parsed: DataFrame, private: bool = False, imports: bool = True, by: list[str] | None = None) -> DataFrame:
+    return document(distill_md_blocks(parsed, private, imports).select("ord", "block", *(by or [])), by, "\n\n")
 
 
 def distill_json(parsed: DataFrame, metrics: DataFrame, private: bool = False, docstrings: bool = False, by: list[str] | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..schemas import TreeOptions
-from . import parts
+from ..schemas import DistillOptions, TreeOptions
+from ..sources.tables import stored
+from . import distill, parts
 from .render import document
 
 #: Order within a file and of the flat list: classes come last, with unknown types.
@@ -134,6 +137,24 @@ def write_tree(symbols: DataFrame, path: str, root: str = ".", options: TreeOpti
     return parts.write(parts.pieces(top.unionByName(lines)), path)
 
 
+def tree_path(spark: SparkSession, path: str, options: TreeOptions | None = None) -> DataFrame:
+    """The tree of a folder's symbols, without the files that options.exclude names; also written to options.output, if
+    given."""
+    options = options or TreeOptions()
+    reading = DistillOptions(exclude=options.exclude, private=True)
+    symbols = distill.symbols(stored(distill.parse(distill.scan(spark, path, reading).select("file", "content"), reading), "parsed"))
+    root = os.path.basename(os.path.abspath(path))
+    document = tree(symbols, root, options)
+    if options.output and options.group_by == "file" and not options.outline:
+        write_tree(symbols, os.path.abspath(options.output), root, options)
+    elif options.output:
+        with open(options.output, "w", encoding="utf-8") as f:
+            f.write(document.first().document)
+    return document
+
+
 def tree(symbols: DataFrame, root: str = ".", options: TreeOptions | None = None) -> DataFrame:
     options = options or TreeOptions()
+    if options.outline:
+        return outline(symbols, options)
     return tree_by_file(symbols, root, options) if options.group_by == "file" else tree_by_type(symbols, options) if options.group_by == "type" else tree_flat(symbols, options)

@@ -86,6 +86,7 @@ class DistillOptions:
     types: str = "declared"
     """TypeScript: ``declared`` types and those of literals, the declarations as ``written``, nested ones included, or
     ``inferred`` ones, over all files together."""
+    output: str | None = None
 
     def __post_init__(self) -> None:
         check_format(self.format)
@@ -115,6 +116,9 @@ class TreeOptions:
     group_by: str = "file"
     include_private: bool = False
     show_types: bool = False
+    outline: bool = False
+    exclude: list[str] = field(default_factory=list)
+    output: str | None = None
 
     def __post_init__(self) -> None:
         if self.group_by not in ("file", "type", "none"):
