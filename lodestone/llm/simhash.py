@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, longest:
     rows, _ = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long"), "fingerprints")
     fps, fps_path = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     found, links_path = stored(links(fps.select("fp"), distance, longest, mean), "links")
-    roots, roots_path = components(found)
+    roots, roots_path = components(found, rows=found.count())
     labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     final, _ = stored(labelled.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "components")
