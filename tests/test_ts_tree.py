@@ -68,3 +68,28 @@ def test_kinds_of_rows_and_a_source_without_end():
     for broken in ("export class A {", "export function f(", "export enum", "export type", "export {", "import {", "}}}", "export const = ;", "@", "export interface I extends", "export namespace"):
         read(broken)
         assert parsers.parse_source("a.ts", broken, DistillOptions(types="written")).errors == []
+
+
+METHODS = """export class A<T> extends B<T> {
+  x
+  get g() { return 1; }
+  async k_a(a: string, n = 1): Promise<T> { return this.x; }
+  private foo(): A.B { x = 1; }
+  @dec bar(x,y?: T.U) { }
+  of(a) { return } in() {}
+  static async *gen(a): void {}
+  odd({ a }) { if (a) { return '}'; } }
+}
+export namespace N { export class D { m(a) { return 1 } constructor(x: number) { q } } function f(a): T { return } }
+é export const o = { m(a) { return b } };
+"""
+
+
+def test_plain_methods_are_one_token_and_read_the_same(monkeypatch):
+    whole, heads = ts_tree.Tree(METHODS), ts_tree.Tree(METHODS, heads=True)
+    assert {heads.x[k].partition("(")[0] for k in heads.methods} == {"g", "async k_a", "foo", "bar", "gen", "m", "constructor"} and len(heads.x) < len(whole.x) - 60
+    for cut in (METHODS, *(METHODS[:n] for n in range(0, len(METHODS), 7)), *(METHODS[n:] for n in range(0, len(METHODS), 7))):
+        found = read(cut)
+        with monkeypatch.context() as m:
+            m.setattr(ts_tree, "Tree", lambda source, heads: type(whole)(source))
+            assert read(cut) == found
