@@ -83,3 +83,19 @@ def test_query(spark, sf):
     got = catalogue_code.q_snapshot_renames(spark, sf).collect()
     key = lambda r: [str(x) for x in r]
     assert sorted(map(tuple, got), key=key) == sorted(brute(before, after, 50), key=key)
+
+
+def test_equally_like_families_are_paired_at_once(spark, monkeypatch):
+    """Copies with a line more each, one family beside another and some files in between."""
+    texts = ["\n".join(f"{k} line {n}" for n in range(9)) for k in range(3)]
+    before = [(f"old{k:02}", texts[k % 3]) for k in range(45)] + [("odd", texts[0] + "\nodd\nodder")]
+    after = [(f"new{k:02}", f"{texts[k % 3]}\n#{k}") for k in range(36)] + [("even", texts[0] + "\neven\nevener"), ("odder", texts[1] + "\nodd")]
+    names = []
+    monkeypatch.setattr(snapshots, "stored", lambda df, name, f=snapshots.stored: names.append(name) or f(df, name))
+    same(spark, before, after, 50)
+    assert names.count("taken") <= 4
+
+
+def test_no_list_of_files_is_broadcast(spark, sf):
+    plan = snapshots.compare(*catalogue_code.two_snapshots(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
