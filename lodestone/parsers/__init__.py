@@ -6,11 +6,12 @@ applies them to a relation of files in Arrow batches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import DistillOptions
 
@@ -151,17 +152,44 @@ def as_row(path: str, parsed: Parsed, compat: bool = False) -> dict:
     return {"file": path, "imports": imports, "exports": exports, "skipped": skipped, "errors": errors}
 
 
+#: Rows and bytes of a batch that goes to a worker, and files and characters of source that it holds parsed at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+HELD_FILES, HELD_CHARS = 100, 1 << 19
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it has lower bounds already."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.match(r"(-?\d+)([kmgtp]?)", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
+def read_rows(batches: Iterator[pa.RecordBatch], read: Callable[[str | None, str], dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """read(file, content) of each row, given on every few files, so that no worker holds a whole batch parsed."""
+    for batch in batches:
+        rows, chars = [], 0
+        for f, c in zip(batch.column(0), batch.column(1), strict=True):
+            content = c.as_py() or ""
+            rows.append(read(f.as_py(), content))
+            chars += len(content)
+            if len(rows) == HELD_FILES or chars >= HELD_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def parse_files(files: DataFrame, options: DistillOptions | None = None) -> DataFrame:
     """files (file, content) to one nested row a file. Row-local, so it works on streams as well."""
     options = options or DistillOptions()
     languages = registered_languages()
+    small_batches(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(languages)
-        schema = pa.schema([("file", pa.string()), *_PARTS])
-        for batch in batches:
-            rows = [as_row(f, parse_source(f, c or "", options), options.compat) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield from read_rows(batches, lambda f, c: as_row(f, parse_source(f, c, options), options.compat), pa.schema([("file", pa.string()), *_PARTS]))
 
     return files.select("file", "content").mapInArrow(run, SCHEMA)
 
