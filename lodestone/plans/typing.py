@@ -40,11 +40,9 @@ def facts(files: DataFrame, options: DistillOptions) -> DataFrame:
         return parsers.as_row(file, found.parsed, options.compat) | {"holes": found.holes, "values": found.values, "aliases": found.aliases}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), *parsers._PARTS, *_FACTS])
-        for batch in batches:
-            rows = [read(f or "", c or "") for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield from parsers.read_rows(batches, lambda f, c: read(f or "", c), pa.schema([("file", pa.string()), *parsers._PARTS, *_FACTS]))
 
+    parsers.small_batches(files.sparkSession)
     return files.select("file", "content").mapInArrow(run, FACTS)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from lodestone import parsers
+from lodestone.plans import typing
 from lodestone.schemas import DistillOptions
 
 
@@ -25,7 +26,7 @@ def test_batches_to_workers_are_bounded(spark):
     keys = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
     before = [spark.conf.get(k) for k in keys]
     files = spark.createDataFrame([("a.ts", "export const x = 1;")], "file string, content string")
-    for parse in (parsers.parse_files,):
+    for parse in (parsers.parse_files, typing.facts):
         try:
             spark.conf.set(keys[0], "0"), spark.conf.set(keys[1], "64m")
             assert parse(files, DistillOptions()).count() == 1
