@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import jaccard
 
 
@@ -30,3 +31,15 @@ def test_bitmaps_come_as_words(spark, hashed):
 
 def test_no_values(spark):
     assert not jaccard.bits_of(spark.range(0).select(F.col("id").alias("v")), "v", 1 << 16).any()
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates])
+def test_stages_collect_no_rows_but_the_sketch(spark, sf, stage, monkeypatch):
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(40)) + " end" * k) for i in range(300) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    collected = []
+    kind = type(docs)
+    monkeypatch.setattr(kind, "collect", lambda self, f=kind.collect: collected.append(f(self)) or collected[-1])
+    kept = stage(spark, docs, sf).select("doc_id")
+    assert max(map(len, collected)) <= 1 << 20 - jaccard.CHUNK_BITS
+    assert sorted(r[0] for r in kept.toLocalIterator()) == list(range(0, 600, 2))
