@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -146,10 +147,38 @@ def as_row(path: str, parsed: Parsed, compat: bool = False) -> dict:
          "members": [{"name": m.name, "signature": m.signature, "type": "property" if m.kind == "property" else "method"} for m in e.members]}
         for e in parsed.exports
     ]
+    imports, skipped, errors = _others(parsed)
+    return {"file": path, "imports": imports, "exports": exports, "skipped": skipped, "errors": errors}
+
+
+def _others(parsed: Parsed) -> tuple[list[dict], list[dict], list[dict]]:
+    """Imports, skipped items and errors as rows."""
     imports = [{"source": i.source, "specifiers": [{"name": s} for s in i.specifiers], "line": i.line} for i in parsed.imports]
     skipped = [dict(zip(("name", "reason", "line"), s, strict=True)) for s in parsed.skipped]
     errors = [dict(zip(("message", "line", "severity"), e, strict=True)) for e in parsed.errors]
-    return {"file": path, "imports": imports, "exports": exports, "skipped": skipped, "errors": errors}
+    return imports, skipped, errors
+
+
+def _lists(counts: list[int], kind: pa.StructType, *columns: list) -> pa.Array:
+    """Lists of structs of so many items each, by column."""
+    items = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), items, type=pa.list_(kind))
+
+
+def as_batch(read: list[tuple[str | None, Parsed]], compat: bool = False) -> pa.RecordBatch:
+    """as_row of each (file, parsed), built by column, as a file can have hundreds of members."""
+    exports = [e for _, p in read for e in p.exports]
+    members = [m for e in exports for m in e.members]
+    member_lists = _lists([len(e.members) for e in exports], _MEMBER, [m.name for m in members], [m.signature for m in members], ["property" if m.kind == "property" else "method" for m in members])
+    lines = [e.line for e in exports]
+    export_lists = _lists(
+        [len(p.exports) for _, p in read], _EXPORT, [e.name for e in exports], [e.kind if e.kind in KINDS else "const" for e in exports], [e.signature for e in exports],
+        [None if compat else e.docstring for e in exports], [e.visibility for e in exports], lines, lines, member_lists,
+    )
+    imports, skipped, errors = zip(*(_others(p) for _, p in read), strict=True)
+    kinds = dict(_PARTS)
+    columns = [pa.array([f for f, _ in read], pa.string()), pa.array(imports, kinds["imports"]), export_lists, pa.array(skipped, kinds["skipped"]), pa.array(errors, kinds["errors"])]
+    return pa.RecordBatch.from_arrays(columns, schema=pa.schema([("file", pa.string()), *_PARTS]))
 
 
 #: Rows and bytes of a batch that goes to a worker, and files and characters of source that it holds parsed at a time.
@@ -166,8 +195,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def read_rows(batches: Iterator[pa.RecordBatch], read: Callable[[str | None, str], dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """read(file, content) of each row, given on every few files, so that no worker holds a whole batch parsed."""
+def read_rows(batches: Iterator[pa.RecordBatch], read: Callable[[str | None, str], object], schema: pa.Schema, made: Callable[[list], pa.RecordBatch] | None = None) -> Iterator[pa.RecordBatch]:
+    """read(file, content) of each row, given on every few files, so that no worker holds a whole batch parsed. ``made`` makes a
+    batch of what is read, which else are rows."""
+    made = made or (lambda rows: pa.RecordBatch.from_pylist(rows, schema=schema))
     for batch in batches:
         rows, chars = [], 0
         for f, c in zip(batch.column(0), batch.column(1), strict=True):
@@ -175,10 +206,10 @@ def read_rows(batches: Iterator[pa.RecordBatch], read: Callable[[str | None, str
             rows.append(read(f.as_py(), content))
             chars += len(content)
             if len(rows) == HELD_FILES or chars >= HELD_CHARS:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield made(rows)
                 rows, chars = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield made(rows)
 
 
 def parse_files(files: DataFrame, options: DistillOptions | None = None) -> DataFrame:
@@ -189,7 +220,7 @@ def parse_files(files: DataFrame, options: DistillOptions | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(languages)
-        yield from read_rows(batches, lambda f, c: as_row(f, parse_source(f, c, options), options.compat), pa.schema([("file", pa.string()), *_PARTS]))
+        yield from read_rows(batches, lambda f, c: (f, parse_source(f, c, options)), pa.schema([("file", pa.string()), *_PARTS]), lambda read: as_batch(read, options.compat))
 
     return files.select("file", "content").mapInArrow(run, SCHEMA)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from lodestone.parsers import ts_tree
+from lodestone import parsers
+from lodestone.parsers import ts_syntax, ts_tree
 from lodestone.schemas import DistillOptions
 
 RUNS = """export class A<T> extends B<T> {
@@ -82,3 +83,18 @@ def test_pieces_in_any_order():
         source = draw.choice(["", "export class A {", "export namespace N {"]) + draw.choice("\n ").join(draw.choices(lines, k=draw.randrange(2, 25)))
         found, want = both(source)
         assert found == want, source
+
+
+def test_batches_by_column_are_the_rows():
+    written = DistillOptions(types="written", exclude_names=["F"])
+    read = [(f, parsers.parse_source(f, s, written)) for f, s in (("a.ts", RUNS), ("b.py", "def f(a):\n    '''doc'''\n"), ("c.ts", ""), ("d.none", "x"), ("e.ts", "import { a } from 'b'\n" + RUNS[:400]))]
+    for compat in (False, True):
+        found = parsers.as_batch(read, compat)
+        assert found.to_pylist() == [parsers.as_row(f, p, compat) for f, p in read]
+    assert parsers.as_batch(read[2:3]).num_rows == 1
+
+
+def test_lines_in_any_order():
+    tokens = ts_syntax.Tokens(RUNS)
+    places = [*range(len(tokens.texts)), *range(0, len(tokens.texts), 7)][::-1] + list(range(len(tokens.texts)))
+    assert [tokens.line(k) for k in places] == [RUNS.count("\n", 0, tokens.starts[k]) + 1 for k in places]
